@@ -248,29 +248,22 @@ def _smooth(gain: np.ndarray, turn: float) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def _label(batches: Iterator[pa.RecordBatch], model: object, rule: Rule) -> Iterator[pa.RecordBatch]:
+def _label(batches: Iterator[pa.RecordBatch], model: object, rule: Rule, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     m = model.value
     for b in batches:
-        keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for lo in range(0, len(texts), 500):
-            cols: list[list] = [[], [], [], [], [], []]
-            part = [t or "" for t in texts[lo : lo + 500]]
-            for key, text, runs in zip(keys[lo : lo + 500], part, segments(m, rule, part), strict=True):
+        for lo in range(0, b.num_rows, 500):
+            keys, texts, kept = (c.to_pylist() for c in b.slice(lo, 500).columns)
+            rows = []
+            for key, text, keep, runs in zip(keys, texts, kept, segments(m, rule, texts), strict=True):
+                rows += [(key, keep, n, a, e, LANGUAGES[k] if k >= 0 else None, sure) for n, (a, e, k, sure) in enumerate(runs)]
                 total: dict[int, int] = {}
                 for a, e, k, _ in runs:
-                    total[k] = total.get(k, 0) + e - a
-                known = {k: n for k, n in total.items() if k >= 0}
-                main = max(known, key=lambda k: (known[k], -k)) if known and len(text.strip()) >= rule.document else -1
-                for n, (a, e, k, sure) in enumerate(runs):
-                    written = text[a:e].strip()
-                    for c, x in zip(cols, (key, n, a, e, LANGUAGES[k] if k >= 0 else None, sure), strict=True):
-                        c.append(x)
-                    del written
-                if main >= 0:
-                    sure = max(s for _, _, k, s in runs if k == main)
-                    for c, x in zip(cols, (key, -1, 0, len(text), LANGUAGES[main], sure), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], ["doc_id", "segment", "start", "end", "lang", "confidence"])
+                    if k >= 0:
+                        total[k] = total.get(k, 0) + e - a
+                if total and len(text) >= rule.document:
+                    main = max(total, key=lambda k: (total[k], -k))
+                    rows.append((key, keep, -1, 0, len(text), LANGUAGES[main], max(s for *_, k, s in runs if k == main)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
 def train(documents: DataFrame, how: Fit | None = None) -> Model:
@@ -282,16 +275,19 @@ def train(documents: DataFrame, how: Fit | None = None) -> Model:
     return fit(sorted((r["name"], r["text"]) for r in some.collect()), how)
 
 
-def label(documents: DataFrame, model: Model, rule: Rule | None = None) -> DataFrame:
-    """``(doc_id, segment, start, end, lang, confidence)``: segments of every text, and the document's main language as segment -1.
+def label(documents: DataFrame, model: Model, rule: Rule | None = None, keep: str = "lang") -> DataFrame:
+    """``(doc_id, given, segment, start, end, lang, confidence)``: segments of every text, and its main language as segment -1.
 
     Segments cover the whole text; ``lang`` is null where no centroid is near enough;
-    ``confidence`` is how far, in relation, the next language lies behind. Null and empty
-    texts give no row; texts under ``rule.document`` characters have no main language;
-    repeated rows give theirs again; other columns are ignored. One narrow pass without
-    a shuffle; the model (about 4 MB, however large the corpus) goes to every worker.
+    ``confidence`` is how far, in relation, the next language lies behind; ``given`` is
+    the column ``keep`` (null where there is none), other columns are ignored. Null and
+    empty texts give no row; texts under ``rule.document`` characters have no main
+    language; repeated rows give theirs again. One narrow pass without a shuffle; the
+    model (about 4 MB, however large the corpus) goes to every worker.
     """
     rule = rule or Rule()
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_label, model=sent, rule=rule), "doc_id bigint, segment int, start bigint, `end` bigint, lang string, confidence double")
+    given = F.col(keep).cast("string") if keep in documents.columns else F.lit(None).cast("string")
+    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", given.alias("given"))
+    schema = pa.schema([("doc_id", pa.int64()), ("given", pa.string()), ("segment", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64())])
+    return rows.mapInArrow(partial(_label, model=sent, rule=rule, schema=schema), "doc_id bigint, given string, segment int, start bigint, `end` bigint, lang string, confidence double")

@@ -10,6 +10,7 @@ word is garbled in its other characters only, and surroundings stay as they are.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -36,10 +37,12 @@ _AFTER = re.compile(r"[^A-Za-z0-9]*([A-Za-z0-9]+)")
 @dataclass(frozen=True)
 class Rule:
     """How many times more frequent than its garbled form an original must be: as a word, as
-    a sign beside letters, as a sign between given words; ``seen``: least count of the last."""
+    a sign beside letters (``letter``: if what stands there is a Latin letter, the original none),
+    as a sign between given words; ``seen``: least count of the last."""
 
     word: float = 4.0
     sign: float = 5.0
+    letter: float = 20.0
     between: float = 5.0
     seen: int = 3
 
@@ -133,6 +136,11 @@ def occurrences(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
         yield "r", "", m[0], "", a, b - a
 
 
+@lru_cache(maxsize=1 << 12)
+def _latin(c: str) -> bool:
+    return unicodedata.name(c, "").startswith("LATIN ")
+
+
 _KEY = ("kind", "left", "run", "right")
 
 
@@ -148,13 +156,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         for kind, left, run, right, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             for form, strong in garbled(run).items():
                 if kind != "r" or strong:
-                    for c, v in zip(cols, (kind, left, form, right, run, n, strong), strict=True):
+                    proper = kind == "c" and all(map(_latin, form)) and not all(map(_latin, run))
+                    for c, v in zip(cols, (kind, left, form, right, run, n, strong, proper), strict=True):
                         c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 5 + (pa.int64(), pa.bool_()), strict=True)], [*_KEY, "original", "n_original", "strong"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 5 + (pa.int64(), pa.bool_(), pa.bool_()), strict=True)], [*_KEY, "original", "n_original", "strong", "proper"])
 
 
 def find(texts: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -172,8 +181,8 @@ def find(texts: DataFrame, rule: Rule | None = None) -> DataFrame:
     odd = texts.where("row_id is not null and text is not null").where(F.col("text").rlike(r"[^\x00-\x7F]")).select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "text")
     seen = odd.mapInArrow(_tokens, "table_name string, row_id bigint, kind string, `left` string, run string, `right` string, start int, size int")
     counts, _ = shelf.put(seen.groupBy(*_KEY).agg(F.count("*").alias("n")))
-    table = counts.repartition(*_KEY).mapInArrow(_forms, "kind string, `left` string, run string, `right` string, original string, n_original bigint, strong boolean")
-    least = F.when(F.col("kind") == "w", rule.word).when(F.col("kind") == "c", rule.sign).when(F.col("kind") == "r", 1.0).otherwise(rule.between)
+    table = counts.repartition(*_KEY).mapInArrow(_forms, "kind string, `left` string, run string, `right` string, original string, n_original bigint, strong boolean, proper boolean")
+    least = F.when(F.col("proper"), rule.letter).when(F.col("kind") == "w", rule.word).when(F.col("kind") == "c", rule.sign).when(F.col("kind") == "r", 1.0).otherwise(rule.between)
     proven = (F.col("n_original") >= least * F.col("n")) & (~F.col("kind").isin("p", "n") | F.col("strong") | (F.col("n_original") >= rule.seen)) & (F.col("original") != F.col("run"))
     hits = counts.join(table, list(_KEY)).where(proven)
     best = F.max_by("original", F.struct("n_original", "original"))

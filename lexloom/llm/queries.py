@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, neighbours, split
+from lexloom.llm import bpe, languages, leaks, mojibake, neighbours, split
 from lexloom.tables import table
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that may have been misread: titles of works, descriptions of steps and judgements."""
+    one = lambda t, c: table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "row_id", F.col(c).alias("text"))
+    return one("works", "title").unionByName(one("iter_steps", "description")).unionByName(one("judgements", "description"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.find(_texts(spark, sf_dir)).select("table_name", "row_id").distinct()
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected texts with their originals put in place."""
+    texts = _texts(spark, sf_dir)
+    return mojibake.restore(texts, mojibake.find(texts))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.similar(table(spark, sf_dir, "nodes").select("id", "embedding"), "id", "embedding", k=5, least=0.9)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
@@ -35,7 +51,31 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_pieces, p8_ids, p8_roundtrip)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it and its longest run of words."""
+    found = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document (segment -1) and each of its segments with language and confidence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages.label(docs, languages.train(docs))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule, rows = languages.Rule(), p10_segments(spark, sf_dir)
+    long = (F.col("segment") == -1) | (F.col("end") - F.col("start") >= rule.passage)
+    unnamed = ~F.col("lang").eqNullSafe(languages.label_language(F.col("given")))
+    return rows.where(F.col("lang").isNotNull() & long & unnamed).select("doc_id", "lang").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p5_found, p7_found, p7_pieces, p8_ids, p8_roundtrip, p9_found, p9_items, p10_found, p10_segments)}
 
 SQL = {
     "p5_found": """

@@ -47,3 +47,32 @@ def uri_to_urn(uri: Column) -> Column:
         .when(clean.startswith("urn:"), clean)
         .otherwise(F.concat(F.lit("urn:akn:"), clean))
     )
+
+
+def resolve_href(urn: Column, href: Column) -> Column:
+    """Target of a link in the act ``urn``: a fragment is a node's id; paths, URNs and addresses stay; others hang on the act."""
+    return (
+        F.when(href.startswith("#"), node_id(urn, F.substring(href, 2, 1 << 20)))
+        .when(href.startswith("/akn/") | href.startswith("urn:") | href.startswith("http"), href)
+        .otherwise(F.concat(urn, F.lit("#"), href))
+    )
+
+
+def canonical_target(target: Column) -> Column:
+    """An act's path as its URN, so that links by path and by URN meet; anything else stays."""
+    return F.coalesce(act_uri_to_urn(target), target)
+
+
+def last_segments(uri: Column, n: int = 2) -> Column:
+    """The last ``n`` segments of a path joined by ':'."""
+    return F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.filter(F.split(uri, "/"), lambda s: s != "")), 1, n)), 1, n), ":")
+
+
+def urns_in(text: Column, pattern: str = r"""(?i)urn:nir:[^\s<"']+""") -> Column:
+    """Distinct URNs in a text in the order of their first place; [] for null."""
+    return F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")))
+
+
+def fallback_urn(title: Column, date: Column) -> Column:
+    """URN of an act that names none: a hash of title and ISO date; a missing title is written None."""
+    return F.concat(F.lit("urn:fallback:"), F.substring(F.sha2(F.concat(F.coalesce(title, F.lit("None")), F.lit("_"), F.date_format(date, "yyyy-MM-dd")), 256), 1, 16))

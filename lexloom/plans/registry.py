@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import problems
+from lexloom.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **problems.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p4_found(spark, sf_dir)
+    """Hybrid retrieval over the chunks."""
+    return reference.hybrid_retrieve(spark, sf_dir)

@@ -154,7 +154,7 @@ def _templates(label: tuple, lists: frozenset) -> tuple[str, str, int]:
         if x is None:
             text += "[%d]"
             places += 1
-            if last in lists and n < len(label) - 1:
+            if last in lists and n < len(label) - 1 and label[n + 1] is not None:  # an object stands there
                 parent, depth = text, places
             last = None
         else:

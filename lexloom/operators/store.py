@@ -45,7 +45,7 @@ def structurals(nodes: DataFrame, acts: DataFrame) -> DataFrame:
 def links(edges: DataFrame, ids: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Distinct ``(source_id, target_id, type)`` whose ends are both among ``ids`` (``id``)."""
     own = edges.where(F.col("type").isin(*types)).select("source_id", "target_id", "type").distinct()
-    return own.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    return own.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id", "type")
 
 
 def topic_links(edges: DataFrame, ids: DataFrame) -> DataFrame:

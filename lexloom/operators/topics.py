@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import normalize_text
@@ -30,10 +30,12 @@ def match(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """
     sizes = sorted(r["n"] for r in labels.select(F.size(F.split("label", " ")).alias("n")).distinct().collect())
     words = texts.where("id is not null and text is not null").select("id", F.split(normalize_text(F.col("text")), " ").alias("w"))
-    gram = F.array().cast("array<struct<label:string,last:int,n:int>>")
-    for n in sizes:
+
+    def stretches(n: int) -> Column:
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        gram = F.concat(gram, F.transform(starts, lambda i, n=n: F.struct(F.array_join(F.slice("w", i, n), " ").alias("label"), (i + n - 1).cast("int").alias("last"), F.lit(n).alias("n"))))
+        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("label"), (i + n - 1).cast("int").alias("last"), F.lit(n).alias("n")))
+
+    gram = F.concat(F.array().cast("array<struct<label:string,last:int,n:int>>"), *map(stretches, sizes))
     hits = words.select("id", F.inline(gram)).join(labels.select("label", "concept_id"), "label")
     return hits.groupBy("id", "concept_id").agg(F.min_by("label", F.struct("last", -F.col("n"))).alias("label")).withColumn("score", F.lit(1.0))
 

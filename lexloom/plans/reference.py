@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 
 #: Day of reference of the queries that need one, and the questions put.
 DAY = "2020-01-01"
-QUESTIONS = (("q1", "tutela delle acque interne"), ("q2", "mobilità ciclabile nei comuni"), ("q3", "assistenza agli anziani e previdenza"))
+QUESTIONS = (("q1", "tutela acque interne nei comuni"), ("q2", "sanzioni pesca e mobilità ciclabile"), ("q3", "assistenza agli anziani"))
 
 
 def query(sql: str | None = None):
@@ -200,10 +200,16 @@ def label_priority(spark, sf):
     return topics.dictionary(table(spark, sf, "concepts"))
 
 
-@query(f"with {_ONE}, {_DICT}, {_grams('select id, text_display as t from one')}, {_MATCH} select id, concept_id, label, 1.0::double as score from m")
+_NAMED = "select source_id || target_id as id, min(label) || ', ' || max(label) || '; ' || max(edge_id) as t from edges join concepts on concept_id = target_id where type = 'HAS_TOPIC' group by source_id, target_id"
+
+
+@query(f"with {_ONE}, {_DICT}, {_grams('select id, text_display as t from one union all ' + _NAMED)}, {_MATCH} select id, concept_id, label, 1.0::double as score from m")
 def topic_match(spark, sf):
-    one = store.upsert(table(spark, sf, "nodes"), "id", "ingested_at", ("text_display",))
-    return topics.match(one.withColumnRenamed("text_display", "text"), topics.dictionary(table(spark, sf, "concepts")))
+    """Labels in the chunks' texts, which name none here, and in texts made of the labels of each topic link."""
+    one, labels = store.upsert(table(spark, sf, "nodes"), "id", "ingested_at", ("text_display",)).toDF("id", "text"), table(spark, sf, "concepts")
+    links = table(spark, sf, "edges").where("type = 'HAS_TOPIC'").select(F.concat("source_id", "target_id").alias("id"), F.col("target_id").alias("concept_id"), "edge_id")
+    named = links.join(labels, "concept_id").groupBy("id").agg(F.concat(F.min("label"), F.lit(", "), F.max("label"), F.lit("; "), F.max("edge_id").cast("string")).alias("text"))
+    return topics.match(one.unionByName(named), topics.dictionary(labels))
 
 
 @query(

@@ -164,7 +164,6 @@ def fit(labelled: list[tuple[str, str]], how: Fit | None = None, unit: int = 240
     value = tf * idf[col]
     value = value / np.sqrt(np.bincount(row, value**2, minlength=len(parts)))[row]
     col = place[col]
-    starts = np.searchsorted(row, np.arange(len(parts) + 1))
 
     def mean(which: np.ndarray) -> np.ndarray:
         keep = np.isin(row, which)
@@ -194,11 +193,13 @@ def fit(labelled: list[tuple[str, str]], how: Fit | None = None, unit: int = 240
         cos = against(np.array(centres))
         owner = np.array(owner)
         kept = owner[cos.argmax(axis=1)] == label
-    del starts
-    own = np.where(owner[None, :] == label[:, None], cos, -1).max(axis=1)[kept]
+    mine = owner[None, :] == label[:, None]
+    own, other = np.where(mine, cos, -1).max(axis=1)[kept], np.where(mine, 0, cos).max(axis=1)[kept]
+    # rejected: farther than nearly all own units are, and than units of other languages usually are
+    least = min(0.6 * float(np.quantile(own, 0.01)), float(np.median(other))) if len(own) else 0.0
     weights = np.zeros((BUCKETS, len(centres)), np.float32)
     weights[used] = (np.array(centres) * idf[used]).T
-    return Model(weights, idf**2, owner, 0.6 * float(np.quantile(own, 0.01)))
+    return Model(weights, idf**2, owner, max(least, 1e-6))
 
 
 def segments(model: Model, rule: Rule, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:

@@ -39,7 +39,6 @@ class _Letters(dict):
 
 
 _LETTERS = _Letters()
-_WORDS = _Letters()
 
 
 def compact(text: str) -> str:
@@ -117,9 +116,10 @@ class Items:
         self.seen[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
 
-def _regions(items: Items, hits: np.ndarray, which: np.ndarray, ends: np.ndarray, rule: Rule) -> list[tuple[int, int, int, int]]:
-    """``(doc, item, diagonal, width)`` of bands that share enough q-grams within a window.
+def _regions(items: Items, hits: np.ndarray, which: np.ndarray, ends: np.ndarray, rule: Rule) -> list[tuple[int, int, int, int, np.ndarray | None]]:
+    """``(doc, item, diagonal, width, shared)`` of bands that share enough q-grams within a window.
 
+    ``shared``: where in the item the shared q-grams stand (if edits are allowed).
     ``hits``: places in the chunk whose q-gram ``which`` some item has; ``ends``: where
     the documents of the chunk end. Bands overlap by half, so any run of hits whose
     diagonals differ by at most ``edits`` lies whole in one of them.
@@ -144,23 +144,30 @@ def _regions(items: Items, hits: np.ndarray, which: np.ndarray, ends: np.ndarray
     item = np.searchsorted(items.item_at, s, side="right") - 1
     diagonal = p - s
     step = max(1, rule.edits)
-    found: set[tuple[int, int, int, int]] = set()
+    found = []
     for shift in (0,) if rule.edits == 0 else (0, step):
-        band = (diagonal + shift) // (step if rule.edits == 0 else 2 * step)
+        width = 1 if rule.edits == 0 else 2 * step
+        band = (diagonal + shift) // width
         order = np.lexsort((p, band, item, doc))
-        d, i, b, x = doc[order], item[order], band[order], p[order]
+        d, i, b, x, y = doc[order], item[order], band[order], p[order], s[order]
+        if not len(x):
+            continue
+        new = np.r_[True, (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])]
+        group = np.cumsum(new) - 1
         # within a band a place in the document counts once
-        fresh = np.r_[True, (x[1:] != x[:-1]) | (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])] if len(x) else np.zeros(0, bool)
-        d, i, b, x = d[fresh], i[fresh], b[fresh], x[fresh]
-        n = len(x) - items.need + 1
+        once = new | np.r_[True, x[1:] != x[:-1]]
+        place, of = x[once], group[once]
+        n = len(place) - items.need + 1
         if n <= 0:
             continue
         last = items.need - 1
-        full = (d[last:] == d[:n]) & (i[last:] == i[:n]) & (b[last:] == b[:n]) & (x[last:] - x[:n] <= span)
-        width = 1 if rule.edits == 0 else 2 * step
-        low = b[:n][full] * width - shift
-        found.update(zip(d[:n][full].tolist(), i[:n][full].tolist(), low.tolist(), [width] * int(full.sum()), strict=True))
-    return sorted(found)
+        full = np.unique(of[:n][(of[last:] == of[:n]) & (place[last:] - place[:n] <= span)])
+        first = np.flatnonzero(new)
+        until = np.r_[first[1:], len(x)]
+        for g in full.tolist():
+            at = first[g]
+            found.append((int(d[at]), int(i[at]), int(b[at]) * width - shift, width, np.unique(y[at : until[g]]) if rule.edits else None))
+    return found
 
 
 def _aligned(a: np.ndarray, b: np.ndarray, edits: int, slide: int) -> bool:
@@ -190,7 +197,7 @@ def _aligned(a: np.ndarray, b: np.ndarray, edits: int, slide: int) -> bool:
     return bool(row.min() <= edits)
 
 
-def _verified(items: Items, text: np.ndarray, lo: int, hi: int, item: int, low: int, width: int, rule: Rule) -> int:
+def _verified(items: Items, text: np.ndarray, lo: int, hi: int, item: int, low: int, width: int, shared: np.ndarray | None, rule: Rule) -> int:
     """The most consecutive words of the item that stand on these diagonals of the document, 0 if under the rule's."""
     first = np.searchsorted(items.starts, items.item_at[item])
     until = np.searchsorted(items.starts, items.item_at[item + 1]) if item + 1 < len(items.item_at) else len(items.starts)
@@ -207,17 +214,15 @@ def _verified(items: Items, text: np.ndarray, lo: int, hi: int, item: int, low:
             run = run + 1 if w else 0
             best = max(best, run)
         return best if best >= rule.words else 0
-    best = 0
-    n = len(starts)
-    w = 0
-    while w + rule.words <= n:
+    for w in range(len(starts) - rule.words + 1):
         a0, a1 = int(starts[w]), int(ends[w + rule.words - 1])
-        b0, b1 = max(lo, a0 + low), min(hi, a1 + low + width + rule.edits)
-        if a1 - a0 - rule.edits <= b1 - b0 and _aligned(items.codes[a0:a1], text[b0:b1], rule.edits, width):
-            best = max(best, rule.words)
-            break
-        w += 1
-    return best
+        # the lemma again, for this window alone
+        if np.searchsorted(shared, a1 - items.q, side="right") - np.searchsorted(shared, a0) < a1 - a0 - items.q + 1 - items.q * rule.edits:
+            continue
+        b0, b1 = max(lo, a0 + low - rule.edits), min(hi, a1 + low + width + rule.edits)
+        if b1 - b0 >= a1 - a0 - rule.edits and _aligned(items.codes[a0:a1], text[b0:b1], rule.edits, a0 + low + width - b0):
+            return rule.words
+    return 0
 
 
 @lru_cache(maxsize=4)
@@ -256,10 +261,12 @@ def _leaks(index: Items, part: list[str], ids: list[int], rule: Rule, out: dict[
     which = np.searchsorted(index.grams, grams[maybe])
     which[which == len(index.grams)] = 0
     right = index.grams[which] == grams[maybe]
-    for d, i, low, width in _regions(index, maybe[right], which[right], ends, rule):
+    for d, i, low, width, shared in _regions(index, maybe[right], which[right], ends, rule):
+        key = (ids[d], index.ids[i])
+        if rule.edits and key in out:
+            continue
         lo, hi = int(ends[d - 1]) if d else 0, int(ends[d]) - 1
-        if n := _verified(index, text, lo, hi, i, low, width, rule):
-            key = (ids[d], index.ids[i])
+        if n := _verified(index, text, lo, hi, i, low, width, shared, rule):
             out[key] = max(out.get(key, 0), n)
 
 

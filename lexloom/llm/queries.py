@@ -30,6 +30,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every node whose id, a hexadecimal number, is divisible by 20, among all nodes."""
+    nodes = table(spark, sf_dir, "nodes").select("id", "embedding")
+    asked = nodes.where(F.pmod(F.conv(F.substring("id", -8, 8), 16, 10).cast("bigint"), F.lit(20)) == 0)
+    return neighbours.search(nodes, asked, "id", "embedding").select("id", "neighbour", "cosine", F.col("rank").cast("bigint").alias("rank"))
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text of every EXPRESSION node."""
     nodes = table(spark, sf_dir, "nodes").where("type = 'EXPRESSION'").select(F.col("id").alias("node_id"), "text_content", "text_vector", "tag_name")
@@ -56,6 +63,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of twenty words with at most one letter wrong, missing or added."""
+    found = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), leaks.Rule(edits=1))
+    return found.select("doc_id", "item_id")
+
+
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each leaked item with the number of documents that hold it and its longest run of words."""
     found = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -75,7 +88,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("lang").isNotNull() & long & unnamed).select("doc_id", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p5_found, p7_found, p7_pieces, p8_ids, p8_roundtrip, p9_found, p9_items, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p5_found, p5_knn, p7_found, p7_pieces, p8_ids, p8_roundtrip, p9_found, p9_near, p9_items, p10_found, p10_segments)}
 
 SQL = {
     "p5_found": """
@@ -90,5 +103,11 @@ select distinct id as node_id, field_name from (
   select id, type, 'text_content' as field_name, text_content as t from nodes
   union all select id, type, 'text_vector', text_vector from nodes)
 where type = 'EXPRESSION' and length(t) > 3500""",
+    "p9_found": r"""
+with d as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
+b as (select item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') as w from benchmark where text is not null),
+dw as (select doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ''))) as run from d where len(w) >= 20),
+bw as (select item_id, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ''))) as run from b where len(w) >= 20)
+select distinct doc_id, item_id from dw join bw using (run)""",
     "p8_roundtrip": "select doc_id, length(coalesce(text, ''))::bigint as n_chars, md5(coalesce(text, '')) as md5 from documents",
 }

@@ -91,7 +91,7 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``(id, term, tf, dl)``: how often each token stands in each text, and the text's number of tokens.
 
     Null and empty texts have no postings. Repeated rows of a key would add up: give one
-    row a key. Counting is within a row, so nothing is shuffled.
+    row a key. A text's tokens are counted in the task that reads it, before the shuffle.
     """
     listed = rows.select(F.col(key).alias("id"), tokens(F.col(text)).alias("t")).where("size(t) > 0")
     one = listed.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom import engine
 from lexloom.functions import classify, dates, text, urns
 from lexloom.operators import enrich, expand, fusion, search, store, topics
-from lexloom.sources import akn
+from lexloom.sources import akn, files
 from lexloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -553,3 +553,67 @@ def xml_parse_edges(spark, sf):
 def embed_batch(spark, sf):
     own = store.upsert(table(spark, sf, "nodes").where("type = 'EXPRESSION'"), "id", "ingested_at", ("text_vector",))
     return enrich.embed(own, "text_vector", enrich.hash_provider()).select("id", "embedding", "embed_error")
+
+
+def _escaped(c):
+    """A column's text within XML."""
+    out = F.coalesce(c, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+@query(
+    r"""select row_id, date, array_to_string(list_distinct(affected_urns), ' ') = '' as none, array_to_string(list_sort(list_distinct(list_filter(affected_urns, lambda u: u like 'urn:nir:%'))), ' ') as urns
+  from judgements where date <> ''"""
+)
+def judgement_extract(spark, sf):
+    """Court files made of every judgement, and what is read from them."""
+    j = table(spark, sf, "judgements")
+    body = F.concat(F.lit('<atto><sentenza date="'), _escaped(F.col("date")), F.lit('"> visti '), _escaped(F.array_join("affected_urns", " ")), F.lit(" </sentenza></atto>"))
+    read = files.judgements(j.select(F.concat(F.lit("/c/"), F.col("row_id").cast("string"), F.lit(".xml")).alias("path"), body.alias("content")))
+    none = j.select("row_id", (F.size(F.array_distinct("affected_urns")) <= 0).alias("none"))
+    return read.select(F.split("id", ":")[1].cast("bigint").alias("row_id"), "date", F.array_join(F.array_sort("affected_urns"), " ").alias("urns")).join(none, "row_id")
+
+
+@query(
+    """select 'http://atti.esempio/' || edge_id || '/' as page, properties.href as href, case when properties.href like '/%' then 'http://atti.esempio' || properties.href when properties.href like '#%' then 'http://atti.esempio/' || edge_id || '/' || properties.href
+  when regexp_matches(properties.href, '^[a-z]+:') then properties.href else 'http://atti.esempio/' || edge_id || '/' || properties.href end as url from edges where properties.href <> ''"""
+)
+def link_scrape(spark, sf):
+    """Pages made of every link, and the links read from them."""
+    own = table(spark, sf, "edges").select("edge_id", F.col("properties.href").alias("href"), F.col("properties.text").alias("text")).where("href <> ''")
+    html = F.concat(F.lit('<html><body><p>Vedi <a class="x" href="'), _escaped(F.col("href")), F.lit('"><b>'), _escaped(F.col("text")), F.lit("</b></a><a>nulla</a></p>"))
+    pages = own.select(F.concat(F.lit("http://atti.esempio/"), F.col("edge_id").cast("string"), F.lit("/")).alias("url"), html.alias("html"))
+    return files.links(pages).select("page", "href", "url")
+
+
+@query("select concept_id, label, kind from concepts")
+def thesaurus_load(spark, sf):
+    """RDF made of every label, and the labels read from it."""
+    c = table(spark, sf, "concepts")
+    tag = F.concat(F.lit("skos:"), F.col("kind"), F.lit("Label"))
+    rdf = F.concat(F.lit('<rdf:RDF xmlns:rdf="r" xmlns:skos="s"><skos:Concept rdf:about="'), _escaped(F.col("concept_id")), F.lit('"><'), tag, F.lit(' xml:lang="it">'), _escaped(F.col("label")), F.lit("</"), tag, F.lit('><skos:altLabel xml:lang="en">x</skos:altLabel></skos:Concept></rdf:RDF>'))
+    return files.thesaurus(files.triples(c.select(rdf.alias("content"))))[0]
+
+
+@query(
+    """select source_id, count(*) as topics, array_to_string((list(target_id order by score desc, target_id))[1:3], ',') as best from (select distinct source_id, target_id, score from edges where type = 'HAS_TOPIC' and target_id <> '') group by 1"""
+)
+def expressions_by_topic(spark, sf):
+    """Each chunk's three best topics."""
+    from pyspark.sql import Window
+
+    own = table(spark, sf, "edges").where("type = 'HAS_TOPIC' and target_id <> ''").select("source_id", "target_id", "score").distinct()
+    w = Window.partitionBy("source_id")
+    some = own.withColumns({"n": F.row_number().over(w.orderBy(F.desc("score"), "target_id")), "topics": F.count("*").over(w)}).where("n <= 3")
+    order = F.array_sort(F.collect_list(F.struct("n", "target_id")))
+    return some.groupBy("source_id", "topics").agg(F.array_join(F.transform(order, lambda x: x["target_id"]), ",").alias("best"))
+
+
+@query("select time_bucket(interval 1 hour, ts) as start, event_type as kind, count(*) as n from events group by 1, 2")
+def event_windows(spark, sf):
+    """The streaming aggregate run over a finished table."""
+    from lexloom.streaming.incremental import counts_by_window
+
+    return counts_by_window(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour", "2 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")

@@ -234,3 +234,16 @@ def test_embedding_failures(spark):
     df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "id int, t string").repartition(1)
     got = {r["id"]: (r["embedding"], r["embed_error"]) for r in enrich.embed(df, "t", fails, 1).collect()}
     assert got == {1: ([1.0], None), 2: (None, "RuntimeError: down"), 3: (None, None)}
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    src = tmp_path / "events"
+    src.mkdir()
+    batches = [["00:10", "00:20", "01:05"], ["00:30", "03:00"], ["00:40", "05:00"]]  # the last 00:40 comes too late
+    for n, times in enumerate(batches):
+        (src / f"{n}.json").write_text("".join(f'{{"ts": "2024-01-01T{t}:00Z", "kind": "k"}}\n' for t in times))
+        rows = spark.readStream.schema("ts timestamp, kind string").json(str(src))
+        q = incremental.counts_by_window(rows, "ts", "kind", "1 hour", "1 hour").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+    got = sorted((r["start"].hour, r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got[0] == (0, 3) and (1, 1) in got

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import bpe, languages, leaks, mojibake, neighbours, split
@@ -48,6 +48,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_pieces(spark, sf_dir).where("piece_no = 1").select("node_id", "field_name").distinct()
 
 
+def p7_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the pieces of each text reach, and whether all are within the limit and join up."""
+    end, after = F.col("start") + F.length("piece"), Window.partitionBy("node_id", "field_name").orderBy("start", "piece_no").rowsBetween(Window.unboundedPreceding, -1)
+    own = p7_pieces(spark, sf_dir).distinct().withColumn("joined", F.col("start") <= F.coalesce(F.max(end).over(after), F.lit(0)))
+    return own.groupBy("node_id", "field_name").agg(F.max(end).cast("bigint").alias("n_chars"), F.bool_and((F.length("piece") <= 3500) & F.col("joined")).alias("fit"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -88,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("lang").isNotNull() & long & unnamed).select("doc_id", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p5_found, p5_knn, p7_found, p7_pieces, p8_ids, p8_roundtrip, p9_found, p9_near, p9_items, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p5_found, p5_knn, p7_found, p7_pieces, p7_cover, p8_ids, p8_roundtrip, p9_found, p9_near, p9_items, p10_found, p10_segments)}
 
 SQL = {
     "p5_found": """
@@ -103,6 +110,11 @@ select distinct id as node_id, field_name from (
   select id, type, 'text_content' as field_name, text_content as t from nodes
   union all select id, type, 'text_vector', text_vector from nodes)
 where type = 'EXPRESSION' and length(t) > 3500""",
+    "p7_cover": """
+select id as node_id, field_name, max(length(t)) as n_chars, true as fit from (
+  select id, type, 'text_content' as field_name, text_content as t from nodes
+  union all select id, type, 'text_vector', text_vector from nodes)
+where type = 'EXPRESSION' and t is not null group by 1, 2""",
     "p9_found": r"""
 with d as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
 b as (select item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') as w from benchmark where text is not null),

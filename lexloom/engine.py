@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import expand, fusion, search, store, topics
 from lexloom.operators.enrich import chunks
 from lexloom.operators.fusion import Settings
+from lexloom.tables import Shelf
 
 
 @dataclass(frozen=True)
@@ -24,18 +25,25 @@ class Graph:
 
 
 def build(works: DataFrame, nodes: DataFrame, edges: DataFrame, concepts: DataFrame, broader: DataFrame) -> Graph:
-    """The graph of the tables as they were loaded, each key once."""
+    """The graph of the tables as they were loaded, each key once.
+
+    Chunks and topic links are written, as every channel reads them.
+    """
+    shelf = Shelf(nodes.sparkSession, "graph")
     acts = store.works(works)
     own = store.expressions(nodes, acts)
     parent = edges.where("type = 'PART_OF'").groupBy(F.col("source_id").alias("id")).agg(F.min("target_id").alias("parent_id"))
     tag = store.upsert(nodes, "id", "ingested_at", ("tag_name",)).toDF("parent_id", "context")
     listed = chunks(own, acts).join(parent, "id", "left").join(tag, "parent_id", "left").withColumn("context", F.coalesce("context", F.lit("articolo")))
-    return Graph(listed, store.topic_links(edges, own), edges, topics.dictionary(concepts), broader)
+    kept, _ = shelf.put(listed)
+    links, _ = shelf.put(store.topic_links(edges, kept.select("id")))
+    return Graph(kept, links, edges, topics.dictionary(concepts), broader)
 
 
 def analyze(graph: Graph, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queries (``query_id, text``) with the labels found in them appended, and ``(query_id, concept_id)`` with narrower concepts."""
-    found = topics.match(queries.select(F.col("query_id").alias("id"), "text"), graph.labels).withColumnRenamed("id", "query_id")
+    shelf = Shelf(queries.sparkSession, "analysis")
+    found, _ = shelf.put(topics.match(queries.select(F.col("query_id").alias("id"), "text"), graph.labels).withColumnRenamed("id", "query_id"))
     labels = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("concept_id", "label"))), lambda x: x["label"]), " ").alias("labels"))
     widened = queries.join(labels, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "labels").alias("text"))
     below = found.select("query_id", F.col("concept_id").alias("parent_id")).join(graph.broader.distinct(), "parent_id").select("query_id", F.col("child_id").alias("concept_id"))
@@ -60,7 +68,7 @@ def retrieve(graph: Graph, queries: DataFrame, reference: Column, settings: Sett
     citation_hop, marked likewise.
     """
     settings = settings or Settings()
-    cut = fusion.fuse(channels(graph, queries, settings), settings).where(F.col("place") <= settings.final_k)
+    cut, _ = Shelf(queries.sparkSession, "fused").put(fusion.fuse(channels(graph, queries, settings), settings).where(F.col("place") <= settings.final_k))
     known = graph.chunks.select("id", fusion.mark(F.coalesce("text_display", F.lit("")), F.col("vigenza_end"), reference).alias("text"), "context", fusion.work_key(F.col("work_title"), F.col("work_urn"), F.col("id")).alias("work_key"))
     merged = fusion.merge(cut.join(known, "id")).drop("work_key")
     hops = expand.cited(cut.select("query_id", "id"), graph.edges, graph.chunks, settings.hops, settings.expand)

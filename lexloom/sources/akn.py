@@ -11,11 +11,13 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexloom.functions.classify import MODIFICATIONS
 from lexloom.functions.dates import NO_DATE
@@ -304,11 +306,7 @@ def parsed(files: DataFrame, path: str = "path", content: str = "content", recov
     Null and empty documents are errors, repeated ones are parsed again, other columns are
     ignored. One narrow pass.
     """
-    from functools import partial
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = pa.schema([f if f.name != "x" else f for f in to_arrow_schema(SCHEMA)])
+    schema = to_arrow_schema(SCHEMA)
     return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).mapInArrow(partial(_parse, schema=schema, recover=recover), SCHEMA)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 from html.parser import HTMLParser
@@ -13,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.classify import step_class
-from lexloom.functions.dates import iso_date
 from lexloom.functions.urns import last_segments, node_id, urns_in
 from lexloom.sources import akn, xml
 
@@ -175,12 +173,3 @@ def thesaurus(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = rows.where(F.col("predicate").isin("prefLabel", "altLabel") & (F.col("lang").isNull() | (F.col("lang") == "it"))).select(F.col("subject").alias("concept_id"), F.col("object").alias("label"), kind.alias("kind"))
     broader = rows.where("predicate = 'broader'").select(F.col("subject").alias("child_id"), F.col("object").alias("parent_id")).distinct()
     return labels, broader
-
-
-def steps_with_dates(steps: DataFrame) -> DataFrame:
-    """Steps with their text date as a date where it is one."""
-    return steps.withColumn("day", iso_date(F.col("date")))
-
-
-def slug(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", text.lower()).strip("_")

@@ -13,7 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexloom import engine
 from lexloom.operators.enrich import hash_provider
 from lexloom.operators.fusion import Settings
+from lexloom.ship import ship
 from lexloom.sources import akn, files
 from lexloom.streaming import incremental
 from lexloom.tables import table
@@ -36,6 +37,7 @@ def main(args: list[str] | None = None) -> None:
     ask.add_argument("--full-text", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("lexloom").getOrCreate()
+    ship(spark)
     if a.command == "parse-raw":
         docs = akn.parsed(akn.scan(spark, a.input, a.limit), recover=a.recover)
         files.write_jsonl(docs, a.output)

@@ -153,6 +153,14 @@ def test_crowded_buckets(spark):
     assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in ids]) >= 0.9
 
 
+def test_parts_of_a_crowded_bucket_lose_no_pair(spark):
+    x = np.ones((300, 64)) + np.random.default_rng(4).normal(size=(300, 64)) * 0.3
+    df = frame(spark, [(f"n{i:03}", v.tolist()) for i, v in enumerate(x)])
+    parted, whole = (neighbours.similar(df, "id", "v", k=300, lsh=neighbours.Lsh(crowd=c)).select("id", "neighbour", "cosine").collect() for c in (20, 1000))
+    assert len([r for r in whole if r["cosine"] < 0.95]) > 10_000
+    assert {r[:2] for r in parted} == {r[:2] for r in whole}
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(30, 64))[rng.integers(30, size=1500)] + rng.normal(size=(1500, 64)) * 0.8

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,7 +39,7 @@ _AFTER = re.compile(r"[^A-Za-z0-9]*([A-Za-z0-9]+)")
 class Rule:
     """How many times more frequent than its garbled form an original must be: as a word, as
     a sign beside letters (``letter``: if what stands there is a Latin letter, the original none),
-    as a sign between given words; ``seen``: least count of the last."""
+    as a sign between given words; ``seen``: least count of the last. Rows or distinct texts may bear it out."""
 
     word: float = 4.0
     sign: float = 5.0
@@ -154,16 +155,29 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["table_name", "row_id", *_KEY, "start", "size"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each key of a distinct text how often all its copies have it."""
+    for b in batches:
+        cols: list[list] = [[] for _ in range(5)]
+        for text, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for x, n in Counter(x[:4] for x in occurrences(text)).items():
+                for c, v in zip(cols, (*x, n * copies), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 4 + (pa.int64(),), strict=True)], [*_KEY, "n"])
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[] for _ in range(8)]
-        for kind, left, run, right, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        cols: list[list] = [[] for _ in range(9)]
+        for kind, left, run, right, n, d in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             for form, strong in garbled(run).items():
                 if kind != "r" or strong:
+                    # the original is itself a misreading of the form: few texts don't tell which is proper
+                    back = strong and any(_over(form, "utf-8", a) == run for a in WRITTEN)
                     proper = kind == "c" and all(map(_latin, form)) and not all(map(_latin, run))
-                    for c, v in zip(cols, (kind, left, form, right, run, n, strong, proper), strict=True):
+                    for c, v in zip(cols, (kind, left, form, right, run, n, 0 if back else d, strong, proper), strict=True):
                         c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 5 + (pa.int64(), pa.bool_(), pa.bool_()), strict=True)], [*_KEY, "original", "n_original", "strong", "proper"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 5 + (pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], [*_KEY, "original", "n_original", "d_original", "strong", "proper"])
 
 
 def find(texts: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -171,8 +185,9 @@ def find(texts: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     ``texts`` has ``table_name``, BIGINT ``row_id`` and ``text``; other columns are
     ignored. ``original`` is null where several fit equally or nothing can tell. Null and
-    plain ASCII texts have none; repeated rows count as often as they come; counts are
-    over all texts. The table of garbled forms grows with the distinct words, not with
+    plain ASCII texts have none; counts are over all
+    texts, once with copies and once without: an original is proven by either, so neither
+    many copies of a damaged text nor few distinct proper ones hide what is damaged. The table of garbled forms grows with the distinct words, not with
     the texts; it is joined by key, and what it settles is written first, so that Spark
     broadcasts it to the texts only if it is small.
     """
@@ -180,10 +195,12 @@ def find(texts: DataFrame, rule: Rule | None = None) -> DataFrame:
     shelf = Shelf(texts.sparkSession, "mojibake")
     odd = texts.where("row_id is not null and text is not null").where(F.col("text").rlike(r"[^\x00-\x7F]")).select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "text")
     seen = odd.mapInArrow(_tokens, "table_name string, row_id bigint, kind string, `left` string, run string, `right` string, start int, size int")
-    counts, _ = shelf.put(seen.groupBy(*_KEY).agg(F.count("*").alias("n")))
-    table = counts.repartition(*_KEY).mapInArrow(_forms, "kind string, `left` string, run string, `right` string, original string, n_original bigint, strong boolean, proper boolean")
+    own = odd.groupBy("text").agg(F.count("*").alias("copies")).mapInArrow(_counted, "kind string, `left` string, run string, `right` string, n bigint")
+    counts, _ = shelf.put(own.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.count("*").alias("d")))
+    table = counts.repartition(*_KEY).mapInArrow(_forms, "kind string, `left` string, run string, `right` string, original string, n_original bigint, d_original bigint, strong boolean, proper boolean")
     least = F.when(F.col("proper"), rule.letter).when(F.col("kind") == "w", rule.word).when(F.col("kind") == "c", rule.sign).when(F.col("kind") == "r", 1.0).otherwise(rule.between)
-    proven = (F.col("n_original") >= least * F.col("n")) & (~F.col("kind").isin("p", "n") | F.col("strong") | (F.col("n_original") >= rule.seen)) & (F.col("original") != F.col("run"))
+    borne = lambda original, own: (F.col(original) >= least * F.col(own)) & (~F.col("kind").isin("p", "n") | F.col("strong") | (F.col(original) >= rule.seen))
+    proven = (borne("n_original", "n") | borne("d_original", "d")) & (F.col("original") != F.col("run"))
     hits = counts.join(table, list(_KEY)).where(proven)
     best = F.max_by("original", F.struct("n_original", "original"))
     total = F.sum("n_original")

@@ -232,6 +232,19 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert mojibake.find(df.limit(0)).count() == 0
 
 
+def test_many_copies_of_a_damaged_text(spark):
+    rng = random.Random(8)
+    clean = ["La città è già più bella", "Ciò che è scritto così", "la qualità e la novità"]
+    texts = [(i, f"{rng.choice(clean)} {i}") for i in range(400)]
+    damaged = "la città e la qualità".encode("cp1252").decode("cp1251")
+    rows = [*texts, *((1000 + i, damaged) for i in range(200)), (2000, "altra " + damaged)]
+    # the proper form stands in copies of one text only
+    rows += [*((3000 + i, "per Ærvik") for i in range(60)), (4000, "per Ærvik ancora".encode().decode("cp1252"))]
+    df = spark.createDataFrame([("t", i, x) for i, x in rows], "table_name string, row_id bigint, text string")
+    hits = mojibake.find(df)
+    assert {r["row_id"] for r in hits.select("row_id").distinct().collect()} == {*range(1000, 1200), 2000, 4000}
+
+
 # --- languages -----------------------------------------------------------------------
 
 SENTENCES = {

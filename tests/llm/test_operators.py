@@ -245,6 +245,52 @@ def test_many_copies_of_a_damaged_text(spark):
     assert {r["row_id"] for r in hits.select("row_id").distinct().collect()} == {*range(1000, 1200), 2000, 4000}
 
 
+def found_and_restored(spark, rows):
+    df = spark.createDataFrame([("t", i, x) for i, x in rows], "table_name string, row_id bigint, text string")
+    hits = mojibake.find(df)
+    back = {r["row_id"]: (r["restored"], r["whole"]) for r in mojibake.restore(df, hits).collect()}
+    assert {r["row_id"] for r in hits.select("row_id").distinct().collect()} == set(back)
+    return back
+
+
+@pytest.mark.parametrize("of, read", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp850"), ("utf-8", "cp1251")])
+@pytest.mark.parametrize("copies", [True, False])
+def test_garbled_majority(spark, of, read, copies):
+    clean = "la città è già così"
+    bad = "".join(bytes([x]).decode(read, "ignore") or chr(x) for x in clean.encode(of))
+    text = lambda t, i: t if copies else f"{t} {i} più".replace("più", "" if t is clean else "pi\u00f9".encode().decode("latin-1"))
+    rows = [*((i, text(clean, i)) for i in range(10)), *((100 + i, text(bad, i)) for i in range(100))]
+    back = found_and_restored(spark, rows)
+    assert set(back) == set(range(100, 200))
+    if copies:
+        assert set(back.values()) == {(clean, True)}
+
+
+def test_one_byte_misreadings_in_the_majority_leave_clean_rows_alone(spark):
+    clean = "la città è già così… e poi"
+    for read in ("cp850", "mac_roman", "cp1251", "cp437"):
+        bad = clean.encode("cp1252").decode(read)
+        back = found_and_restored(spark, [*((i, clean) for i in range(10)), *((100 + i, bad) for i in range(100))])
+        assert set(back) == set(range(100, 200)), read
+
+
+def test_garbled_without_any_clean_text(spark):
+    bad = "la città è già così".encode().decode("cp1252", "replace")
+    back = found_and_restored(spark, [(i, bad) for i in range(5)])
+    assert back == {i: (bad, False) for i in range(5)}
+
+
+def test_proper_capitals_before_closing_signs(spark):
+    rows = ["«LA CITTÀ»", "“SÃO JOÃO” e «IRMÃ»", "CAFÉ” – L’UNITÀ…", "Åšroda", "«ТОВАР» её", "ΔΈΛΤΑ «ΑΒΓ»", "MÄ“ und Ä–Ö"]
+    assert found_and_restored(spark, list(enumerate(rows))) == {}
+
+
+def test_words_far_from_a_sign(spark):
+    texts = [f"prima {'-' * 200} è {'.' * 200} {i}" for i in range(40)]
+    bad = texts[0].replace("è", "Þ")
+    assert set(found_and_restored(spark, [*enumerate(texts), (99, bad)])) == {99}
+
+
 # --- languages -----------------------------------------------------------------------
 
 SENTENCES = {

@@ -65,21 +65,23 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id")
+    """Leaks of twenty words; of those that the alignment found, the ones without edits."""
+    return _leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks of twenty words with at most one letter wrong, missing or added."""
-    found = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), leaks.Rule(edits=1))
-    return found.select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "edits")
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each leaked item with the number of documents that hold it and its longest run of words."""
-    found = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
+    return _leaks(spark, sf_dir).where("edits = 0").groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("words"))
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +123,13 @@ b as (select item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N
 dw as (select doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ''))) as run from d where len(w) >= 20),
 bw as (select item_id, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ''))) as run from b where len(w) >= 20)
 select distinct doc_id, item_id from dw join bw using (run)""",
+    "p9_items": r"""
+with d as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
+b as (select item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') as w from benchmark where text is not null),
+dw as (select doc_id, unnest(range(1, len(w) - 18)) as i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) as run from d where len(w) >= 20),
+bw as (select item_id, unnest(range(1, len(w) - 18)) as j, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) as run from b where len(w) >= 20),
+m as (select doc_id, item_id, j, i - j as diagonal, j - row_number() over (partition by doc_id, item_id, i - j order by j) as island from dw join bw using (run)),
+r as (select doc_id, item_id, count(*) + 19 as n from m group by doc_id, item_id, diagonal, island)
+select item_id, count(distinct doc_id) as documents, max(n) as words from r group by 1""",
     "p8_roundtrip": "select doc_id, length(coalesce(text, ''))::bigint as n_chars, md5(coalesce(text, '')) as md5 from documents",
 }

@@ -192,7 +192,7 @@ def test_leaks(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"item_id": F.lit(9), "words": F.lit(9)})
     i = spark.createDataFrame([(100, " ".join(item)), (200, " ".join(other)), (300, "too few words"), (400, None), (None, " ".join(item))], "item_id bigint, text string")
-    got = sorted((r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).collect())
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).where("edits = 0").collect())
     assert got == [(1, 100), (1, 100), (2, 100), (5, 100), (10, 200), (11, 100), (11, 200)]
     assert leaks.leaks(d, i.limit(0)).count() == 0 and leaks.leaks(d.limit(0), i).count() == 0
 
@@ -205,10 +205,75 @@ def test_leaks_with_edits_and_in_blocks(spark, monkeypatch):
     ids = lambda e: sorted((r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i, leaks.Rule(edits=e)).collect())
     assert ids(0) == [(2, 7)]
     assert ids(2) == [(1, 7), (2, 7)]
+    assert sorted(r["edits"] for r in leaks.leaks(d, i, leaks.Rule(edits=2)).collect()) == [0, 2]
     monkeypatch.setattr(leaks, "BLOCK_CHARS", 100)
     assert ids(0) == [(2, 7)]
 
 
+def test_leaks_begin_and_end_with_whole_words(spark):
+    rng = random.Random(9)
+    lexicon = ["e", "a", "i", "o", *(f"{x}{y}" for x in ("nor", "leg", "com", "dec", "tut") for y in ("ma", "ge", "mi", "so"))]
+    item = ["a", *(rng.choice(lexicon[4:]) for _ in range(30)), "zona"]
+    filler = [" ".join(rng.choice(lexicon) for _ in range(50)) for _ in range(2)]
+    docs = {
+        1: f"{filler[0]} dell{' '.join(item[:20])} xx {filler[1]}",  # 'della' and 19 words
+        2: f"{filler[0]} qq{' '.join(item[2:22])}rr {filler[1]}",  # half words at both ends
+        3: f"{filler[0]} {' '.join(item[:20])}, {filler[1]}",
+        4: f"x{' '.join(item[:21])} q",  # 'xa', then 20 whole words
+        5: f"{item[3]}{' '.join(item[4:22])}",  # 19 words, the first two joined
+        6: f"{filler[0]} {item[3]}{' '.join(item[4:23])}",  # 20 words, the first two joined
+        7: f"y{' '.join(item[:20])} {filler[0]} {' '.join(item[:19])}",
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["words"], r["edits"]) for r in leaks.leaks(d, i).collect()}
+    assert {k for k, v in got.items() if v[1] == 0} == {3, 4, 6} and got[4][0] == got[6][0] == 20
+    assert {k for k, v in got.items() if v[1] == 1} <= {7, 1, 2}
+
+
+def test_near_leaks_against_brute_force(spark):
+    """Twenty words with one letter exchanged, left out or put in, and two, at random places."""
+    rng = random.Random(10)
+    lexicon = ["".join(rng.choice("abcdefgilmnoprstuvz") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    items = [[rng.choice(lexicon) for _ in range(rng.randint(20, 50))] for _ in range(20)]
+    docs, want = [], {}
+    for n in range(300):
+        k, edits = rng.randrange(20), n % 3
+        a = rng.randrange(len(items[k]) - 19)
+        flat = list(" ".join(items[k][a : a + 20]))
+        places = sorted(rng.sample([p for p, c in enumerate(flat) if c != " " and 20 < p < len(flat) - 20], edits), reverse=True)
+        for p in places:
+            how = rng.randrange(3)
+            if how == 0:
+                flat[p] = "q"
+            elif how == 1 and flat[p - 1] != " " and flat[p + 1] != " ":
+                del flat[p]
+            else:
+                flat.insert(p, "q")
+        pad = lambda: " ".join(rng.choice(lexicon) for _ in range(30))
+        docs.append((n, f"{pad()} {''.join(flat)} {pad()}"))
+        want[n, k] = edits
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in leaks.leaks(d, i).collect()}
+
+    def one_edit(a: str, b: str) -> bool:
+        n = next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return any(a[n + x :] == b[n + y :] for x, y in ((1, 1), (1, 0), (0, 1)))
+
+    def brute(doc: str, item: list[str]) -> bool:
+        w = doc.split()
+        for a in ("".join(item[n : n + 20]) for n in range(len(item) - 19)):
+            for lo in range(len(w)):
+                for hi in range(lo + 17, min(len(w), lo + 23)):
+                    if abs(len(b := "".join(w[lo : hi + 1])) - len(a)) <= 1 and one_edit(a, b):
+                        return True
+        return False
+
+    # two edits side by side may be one
+    assert got == {(n, k): e if e <= 1 else 1 for (n, k), e in want.items() if e <= 1 or brute(docs[n][1], items[k])}
+
+
 # --- encodings -----------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Operators for training data against brute force, exact round trips and held-out accuracy, and on awkward rows."""
 
 import random
+import time
 from dataclasses import replace
 from pathlib import Path
 
@@ -63,14 +64,18 @@ def test_pieces_cover_the_text(spark):
     rng = random.Random(4)
     words = ["norma", "l'articolo", "è", "abrogato.", "Il", "comma;", "e\n\n", "così:\n", "👩‍👩‍👧", "á", "x" * 90]
     texts = [None, "", "short", "a" * 100, "a" * 101, "😀a" * 400, "́" * 300, " " * 500, *(" ".join(rng.choice(words) for _ in range(rng.randrange(400))) for _ in range(40))]
-    got = cut(spark, texts, 100, 20)
+    for limit, overlap in ((100, 20), (50, 40), (30, 29)):
+        covered(texts, cut(spark, texts, limit, overlap), limit, overlap)
+
+
+def covered(texts, got, limit, overlap):
     assert 0 not in got
     for i, t in enumerate(texts[1:], 1):
         end = 0
-        assert len(got[i]) == 1 if len(t) <= 100 else len(got[i]) > 1
+        assert len(got[i]) == 1 if len(t) <= limit else len(got[i]) > 1
         for n, (start, piece) in enumerate(got[i]):
-            assert piece == t[start : start + len(piece)] and len(piece) <= 100
-            assert start <= end and (n == 0 or 0 < end - start <= 20)
+            assert piece == t[start : start + len(piece)] and len(piece) <= limit
+            assert start <= end and (n == 0 or 0 < end - start <= overlap)
             assert start + len(piece) > end or not t
             end = start + len(piece)
         assert end == len(t)
@@ -93,6 +98,17 @@ def test_long_text(spark):
     assert all(len(p) <= 3500 for _, p in got)
 
 
+def test_work_in_proportion_to_the_length_of_a_text(spark):
+    line = "Il comma 3 dell'articolo è sostituito dal seguente: parola nuova. Altra frase più lunga; con segni\n"
+    took = {}
+    for times in (1, 20_000, 20_000, 160_000):
+        df = spark.range(1).select(F.repeat(F.lit(line), F.col("id").cast("int") + times).alias("t"))
+        began = time.time()
+        split.split_fields(df.withColumn("id", F.lit(1)), "id", ("t",)).write.format("noop").mode("overwrite").save()
+        took[times] = time.time() - began
+    assert took[160_000] < 16 * max(took[20_000], 0.25)
+
+
 # --- neighbours ----------------------------------------------------------------------
 
 

@@ -180,16 +180,20 @@ def _regions(items: Items, hits: np.ndarray, which: np.ndarray, ends: np.ndarray
     p = np.repeat(hits, reps)
     offset = np.arange(len(p)) - np.repeat(np.cumsum(reps) - reps, reps)
     s = items.place[np.repeat(items.first[which], reps) + offset]
-    doc = np.searchsorted(ends, p, side="right")
-    item = np.searchsorted(items.item_at, s, side="right") - 1
-    diagonal = p - s
     step = max(1, rule.edits)
     width = 2 * step
     found = []
     for shift in (0, step):
-        band = (diagonal + shift) // width
-        order = np.lexsort((p, band, item, doc))
-        d, i, b, x, y = doc[order], item[order], band[order], p[order], s[order]
+        band = (p - s + shift) // width
+        # bands that can't have enough, by the number of hits that share their hash, aren't sorted
+        mixed = ((band.astype(np.uint64) * MULTIPLIER) >> np.uint64(44)).astype(np.int64)
+        some = np.flatnonzero(np.bincount(mixed, minlength=1 << 20)[mixed] >= items.need)
+        x, y, b = p[some], s[some], band[some]
+        i = np.searchsorted(items.item_at, y, side="right") - 1
+        # places come in order, and with them documents, so a stable order of bands and items does
+        order = np.argsort(b * len(items.item_at) + i, kind="stable")
+        i, b, x, y = i[order], b[order], x[order], y[order]
+        d = np.searchsorted(ends, x, side="right")
         if not len(x):
             continue
         new = np.r_[True, (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])]

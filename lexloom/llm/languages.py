@@ -10,7 +10,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Codes by which a label names one of the languages (fixed values).
@@ -26,7 +26,7 @@ CHUNK = 1_000_000
 class Fit:
     """Bounds of the labelled sample the centroids come from, and how they are found.
 
-    ``sample`` documents a language, by the hash of their id, of ``shortest`` to
+    at most ``sample`` documents a language, by the hash of their id, of ``shortest`` to
     ``longest`` characters; ``centroids`` a language; ``rounds`` of leaving out units
     that lie nearer to another language than the one on their label.
     """
@@ -135,7 +135,7 @@ def cosines(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             length = np.sqrt(np.bincount(key[edge] // BUCKETS, tf.astype(np.float64) ** 2 * model.idf2[key[edge] % BUCKETS], minlength=m))
             cos = dot / np.maximum(length, 1e-9)[:, None]
             for k in range(len(LANGUAGES)):
-                got[at:end, k] = cos[:, model.owner == k].max(axis=1)
+                got[at:end, k] = cos[:, model.owner == k].max(axis=1, initial=0)
             sizes[at:end] = size
         at = end
     return got, sizes
@@ -268,11 +268,27 @@ def _label(batches: Iterator[pa.RecordBatch], model: object, rule: Rule, schema:
 
 
 def train(documents: DataFrame, how: Fit | None = None) -> Model:
-    """A model from the labelled rows of ``documents`` (``doc_id, text, lang``); the bounds of the sample are ``how``'s."""
+    """A model from the labelled rows of ``documents`` (``doc_id, text, lang``); the bounds of the sample are ``how``'s.
+
+    The hashes of ids are cut into ``how.sample`` parts, and each language's least one in
+    each part is taken: an aggregate of ids that combines before the shuffle, with no hot
+    key; texts never move. Those ids, ``how.sample`` a language at most, then fetch their
+    texts. A language none of whose texts has a length in the range is fitted on excerpts of
+    ``how.longest`` characters of longer ones, or on shorter ones.
+    """
     how = how or Fit()
-    order = Window.partitionBy("name").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("name")).where(F.col("name").isNotNull() & F.length("text").between(how.shortest, how.longest))
-    some = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= how.sample)
+    n = F.length("text")
+    rank = F.when(n.between(how.shortest, how.longest), 0).when(n > how.longest, 1).otherwise(2)
+    labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("name")).where("name is not null and doc_id is not null and text is not null")
+    code = F.xxhash64("doc_id")
+    least = labelled.select("name", F.pmod(code, F.lit(how.sample)).alias("part"), F.struct(rank.alias("rank"), code.alias("code"), "doc_id").alias("at")).groupBy("name", "part").agg(F.min("at").alias("at"))
+    chosen = least.select("name", "at.rank", "at.doc_id").collect()
+    has = {r["name"] for r in chosen if r["rank"] == 0}
+    taken = [(r["doc_id"], r["name"]) for r in chosen if r["rank"] == 0 or r["name"] not in has]
+    if not taken:
+        return fit([], how)
+    ids = documents.sparkSession.createDataFrame(taken, f"doc_id {dict(documents.dtypes)['doc_id']}, name string")
+    some = labelled.join(F.broadcast(ids), ["doc_id", "name"]).select("name", F.substring("text", 1, how.longest).alias("text"), "doc_id").dropDuplicates(["doc_id", "name"])
     return fit(sorted((r["name"], r["text"]) for r in some.collect()), how)
 
 

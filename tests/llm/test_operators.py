@@ -412,6 +412,17 @@ def test_languages_of_documents_and_segments(spark):
     assert languages.label(df, empty).where("lang is not null").count() == 0
 
 
+def test_languages_without_texts_of_the_usual_length(spark):
+    rows = [(i, " ".join(SENTENCES["it"] * 2), "it") for i in range(20)]
+    rows += [(100 + i, " ".join(SENTENCES["de"] * 200), "de") for i in range(5)]  # longer only
+    rows += [(200 + i, SENTENCES["en"][i], "en") for i in range(4)]  # shorter only
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = replace(languages.train(df), least=0.05)
+    asked = spark.createDataFrame([(n, " ".join(SENTENCES[k][:3]), None) for n, k in enumerate(SENTENCES)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in languages.label(asked, model).where("segment = -1").collect()}
+    assert [got.get(n) for n, k in enumerate(SENTENCES) if k in ("it", "en", "de")] == ["it", "en", "de"]
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
 def test_held_out_documents(spark):
     """Documents outside the sample: the main language is the labelled one but for the wrong labels, under a tenth."""

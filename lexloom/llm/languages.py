@@ -69,17 +69,25 @@ def label_language(label: Column) -> Column:
     return out
 
 
-class _Letters(dict):
-    """Letters in lower case; anything else is a blank, or nothing if it only joins or marks."""
-
-    def __missing__(self, c: int) -> str:
-        x = chr(c)
-        self[c] = out = x.lower() if x.isalpha() else "" if unicodedata.category(x) in ("Mn", "Cf") else " "
+class _Letters:
+    """Letters in lower case by their code points; anything else is a blank, or nothing if it only joins or marks. Filled in when first met."""
+
+    def __init__(self) -> None:
+        self.table = np.full(0x110000, 1, np.uint32)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        out = self.table[codes]
+        if (out == 1).any():
+            for c in np.unique(codes[out == 1]).tolist():
+                x = chr(c)
+                self.table[c] = ord(x.lower()[0]) if x.isalpha() else 0 if unicodedata.category(x) in ("Mn", "Cf") else 32
+            out = self.table[codes]
         return out
 
 
 _LETTERS = _Letters()
-_BOUNDARY = re.compile(r"(?<=[.!?;:…»”])\s+|\s*\n\s*|\s+(?=[/|•«„“])|(?<=[/|•])\s+|\s+[-–—*]+\s+")
+# blanks behind or before certain signs, lines, dashes between blanks
+_BOUNDARY = re.compile(r"\s(?:(?<=[.!?;:…»”/|•]\s)\s*|(?<=\n)\s*|\s*\n\s*|\s*(?=[/|•«„“])|\s*[-–—*]+\s+)")
 
 
 def units(text: str, most: int) -> list[tuple[int, int]]:
@@ -101,15 +109,17 @@ def units(text: str, most: int) -> list[tuple[int, int]]:
 
 
 def _features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each trigram of letters and blanks, and the part it stands in."""
-    clean = [" " + re.sub(r" {2,}", " ", (p if unicodedata.is_normalized("NFC", p) else unicodedata.normalize("NFC", p)).translate(_LETTERS).strip()) + "  " for p in parts]
-    codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    part = np.repeat(np.arange(len(parts)), [len(c) for c in clean])
-    if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1] * np.uint64(0x85EBCA77) + codes[2:] * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
-    within = (part[2:] == part[:-2]) & (codes[1:-1] != 32)
-    return (h >> np.uint64(48)).astype(np.int64)[within] & (BUCKETS - 1), part[:-2][within]
+    """Bucket of the trigram around each letter (its neighbours are letters of the part or blanks), and the part it stands in."""
+    parts = [p if p.isascii() or unicodedata.is_normalized("NFC", p) else unicodedata.normalize("NFC", p) for p in parts]
+    codes = _LETTERS(np.frombuffer(("\n" + "\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32))
+    part = np.repeat(np.arange(len(parts) + 1), [1, *(len(p) + 1 for p in parts)]) - 1
+    kept = codes > 0
+    if not kept.all():
+        codes, part = codes[kept], part[kept]
+    at = np.flatnonzero(codes != 32)
+    codes = codes.astype(np.uint64)
+    h = (codes[at - 1] * np.uint64(0x9E3779B1) + codes[at] * np.uint64(0x85EBCA77) + codes[at + 1] * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1), part[at]
 
 
 def cosines(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +175,22 @@ def fit(labelled: list[tuple[str, str]], how: Fit | None = None, unit: int = 240
     value = value / np.sqrt(np.bincount(row, value**2, minlength=len(parts)))[row]
     col = place[col]
 
-    def mean(which: np.ndarray) -> np.ndarray:
-        keep = np.isin(row, which)
-        c = np.bincount(col[keep], value[keep], minlength=len(used))
+    def of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place among ``which``, column and value of all entries of these parts."""
+        place = np.full(len(parts), -1)
+        place[which] = np.arange(len(which))
+        own = place[row] >= 0
+        return place[row[own]], col[own], value[own]
+
+    def mean(entries: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray) -> np.ndarray:
+        r, k, v = entries
+        keep = which[r]
+        c = np.bincount(k[keep], v[keep], minlength=len(used))
         return c / max(np.linalg.norm(c), 1e-12)
 
-    def against(centres: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(parts), len(centres)))
-        for n, c in enumerate(centres):
-            out[:, n] = np.bincount(row, value * c[col], minlength=len(parts))
-        return out
+    def against(entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, centres: list[np.ndarray]) -> np.ndarray:
+        r, k, v = entries
+        return np.stack([np.bincount(r, v * c[k], minlength=n) for c in centres], axis=1)
 
     rng = np.random.default_rng(how.seed)
     kept = np.ones(len(parts), bool)
@@ -184,13 +200,18 @@ def fit(labelled: list[tuple[str, str]], how: Fit | None = None, unit: int = 240
             own = np.flatnonzero(kept & (label == k))
             if not len(own):
                 continue
-            some = [mean(rng.choice(own, min(len(own), 50), replace=False)) for _ in range(min(how.centroids, len(own)))]
+            entries = of(own)
+            some = []
+            for _ in range(min(how.centroids, len(own))):
+                drawn = np.zeros(len(own), bool)
+                drawn[rng.choice(len(own), min(len(own), 50), replace=False)] = True
+                some.append(mean(entries, drawn))
             for _ in range(4):
-                near = against(np.array(some))[own].argmax(axis=1)
-                some = [mean(own[near == n]) if (near == n).any() else some[n] for n in range(len(some))]
+                near = against(entries, len(own), some).argmax(axis=1)
+                some = [mean(entries, near == n) if (near == n).any() else some[n] for n in range(len(some))]
             centres += some
             owner += [k] * len(some)
-        cos = against(np.array(centres))
+        cos = against((row, col, value), len(parts), centres)
         owner = np.array(owner)
         kept = owner[cos.argmax(axis=1)] == label
     mine = owner[None, :] == label[:, None]

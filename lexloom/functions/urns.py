@@ -73,6 +73,12 @@ def urns_in(text: Column, pattern: str = r"""(?i)urn:nir:[^\s<"']+""") -> Column
     return F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")))
 
 
+def known_urn(urn: Column, text: Column) -> Column:
+    """The URN of an act; where it is missing or unknown, the first one named in the text; else ``urn:unknown``."""
+    named = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)(urn:nir:[a-z0-9.\-;~:]+)", 1)
+    return F.coalesce(F.when(~urn.isin("", "urn:", "urn:unknown"), urn), F.nullif(named, F.lit("")), F.lit("urn:unknown"))
+
+
 def fallback_urn(title: Column, date: Column) -> Column:
     """URN of an act that names none: a hash of title and ISO date; a missing title is written None."""
     return F.concat(F.lit("urn:fallback:"), F.substring(F.sha2(F.concat(F.coalesce(title, F.lit("None")), F.lit("_"), F.date_format(date, "yyyy-MM-dd")), 256), 1, 16))

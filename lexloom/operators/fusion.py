@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,29 @@ MARK = "[ATTENZIONE: NORMA ABROGATA]\n"
 MERGED = "MULTIPLE_CHUNKS"
 
 
+#: Names of the settings in an environment (fixed values).
+NAMES = {
+    "top_k": ("RAG_TOP_K", int),
+    "vector": ("RRF_WEIGHT_VECTOR", float),
+    "bm25": ("RRF_WEIGHT_BM25", float),
+    "graph": ("RRF_WEIGHT_GRAPH", float),
+    "rrf_k": ("RRF_K", int),
+    "hops": ("MAX_CITATION_HOPS", int),
+}
+
+
+def environment(file: str = ".env") -> dict[str, str]:
+    """The process's environment, on top of the lines NAME=VALUE of a file, if there is one."""
+    own: dict[str, str] = {}
+    if os.path.exists(file):
+        with open(file, encoding="utf-8") as lines:
+            for line in lines:
+                name, sign, value = line.strip().partition("=")
+                if sign and not name.startswith("#"):
+                    own[name.removeprefix("export ").strip()] = value.strip().strip("'\"")
+    return own | dict(os.environ)
+
+
 @dataclass(frozen=True)
 class Settings:
     top_k: int = 10
@@ -24,6 +49,17 @@ class Settings:
     hops: int = 1
     expand: int = 10
 
+    @classmethod
+    def of(cls, names: Mapping[str, str], **given: int) -> Settings:
+        """Settings from an environment; what is missing or unreadable keeps its default, what is given goes before."""
+        read = {}
+        for field, (name, kind) in NAMES.items():
+            try:
+                read[field] = kind(names[name])
+            except (KeyError, ValueError):
+                continue
+        return cls(**read | given)
+
     @property
     def weights(self) -> dict[str, float]:
         return {"vector": self.vector, "bm25": self.bm25, "graph": self.graph}

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
+from lexloom.tables import Shelf
 
 #: Query vectors held by a worker at once; more go in blocks.
 BLOCK = 4096
+#: Distinct query terms looked up in each text as a list; more are met by a join.
+TERMS = 10_000
 
 
 def _top(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +106,26 @@ def bm25_top_k(rows: DataFrame, queries: DataFrame, key: str, text: str, k: int,
 
     idf ln(1 + (N - df + 0.5) / (df + 0.5)), tf / (tf + k1 (1 - b + b dl / avgdl)); terms are
     alternatives, a repeated query term counts as often; N and avgdl are over texts with a
-    token; ties rank by id. Only tokens of some query are exploded and counted: the rest of
-    a text gives its length and no row.
+    token; ties rank by id; null ids don't count.
+
+    Texts are cut into tokens once: written are each text's length and those of its tokens
+    that some query has, which is all that later steps read. Up to ``TERMS`` distinct terms
+    are looked up in each text before anything is exploded; a larger set of queries is met
+    by a join of the exploded tokens.
     """
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    listed = rows.select(F.col(key).alias("id"), tokens(F.col(text)).alias("t")).where("size(t) > 0").select("id", "t", F.size("t").alias("dl"))
-    size = listed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = q.select("term").distinct()
-    hits = listed.select("id", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    some = [r["term"] for r in terms.limit(TERMS + 1).collect()]
+    listed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), tokens(F.col(text)).alias("t")).where("size(t) > 0").select("id", F.size("t").alias("dl"), "t")
+    if len(some) <= TERMS:
+        listed = listed.select("id", "dl", F.filter("t", lambda x: x.isin(some)).alias("t"))
+        kept, _ = Shelf(rows.sparkSession, "tokens").put(listed)
+        each = kept.select("id", "dl", F.explode("t").alias("term"))
+    else:
+        kept = listed
+        each = listed.select("id", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    size = kept.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(df, "term").join(q, "term").join(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

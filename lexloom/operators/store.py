@@ -1,7 +1,7 @@
 """Upserts into the graph's tables, and checks of them.
 
 Tables carry the time a row came in; an upsert is an aggregate over all rows of a key,
-so loading anything twice changes nothing. Ties in time are settled by the whole row.
+so loading anything twice changes nothing. Ties in time are settled by a hash of the row.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 def upsert(rows: DataFrame, key: str, at: str, first: tuple[str, ...] = (), last: tuple[str, ...] = ()) -> DataFrame:
     """One row a key: of ``first`` the values of the earliest row, of ``last`` the latest that isn't null.
 
-    Null keys are dropped. One aggregate with map-side combine.
+    Null keys are dropped. One aggregate with map-side combine; rows of one time are
+    ranked by the hash of their values.
     """
-    # values are compared as JSON in a tie, as maps can't be ordered
-    tie = lambda cols: F.to_json(F.struct(*cols)) if cols else F.lit("")
+    kinds = dict(rows.dtypes)
+    plain = lambda c: F.to_json(c) if "map<" in kinds[c] else F.col(c)  # noqa: E731 maps can't be hashed
     aggs: list[Column] = []
     if first:
-        aggs.append(F.min_by(F.struct(*first), F.struct(at, tie(first))).alias("f"))
-    aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(at), F.to_json(F.struct(c))))).alias(c) for c in last]
+        aggs.append(F.min_by(F.struct(*first), F.struct(at, F.xxhash64(*map(plain, first)))).alias("f"))
+    aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(at), F.xxhash64(plain(c))))).alias(c) for c in last]
     out = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
     return out.select(key, *(F.col(f"f.{c}").alias(c) for c in first), *last)
 

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.classify import step_class
@@ -19,14 +19,18 @@ from lexloom.sources import akn, xml
 PRONOUNCEMENTS = {"sentenza": "Sentenza", "ordinanza": "Ordinanza", "pronuncia": "Pronuncia", "decisione": "Decisione"}
 
 
+def valid() -> Column:
+    """Whether a parsed document has a URN and, if it has nodes, a STRUCTURAL one."""
+    none = F.coalesce(F.size("nodes"), F.lit(0)) <= 0
+    return F.col("frbr.urn").isNotNull() & (none | F.exists("nodes", lambda n: n["type"] == "STRUCTURAL"))
+
+
 def documents_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Parsed documents from JSON lines; blank, malformed and invalid lines are left out.
 
     A document is invalid without a URN, or if it has nodes but no STRUCTURAL one.
     """
-    rows = spark.read.schema(akn.SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    structured = F.coalesce(F.size("nodes"), F.lit(0)) <= 0
-    return rows.where(F.col("frbr.urn").isNotNull() & (structured | F.exists("nodes", lambda n: n["type"] == "STRUCTURAL")))
+    return spark.read.schema(akn.SCHEMA).option("mode", "DROPMALFORMED").json(path).where(valid())
 
 
 def write_jsonl(docs: DataFrame, path: str) -> None:

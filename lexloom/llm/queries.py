@@ -33,7 +33,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every node whose id, a hexadecimal number, is divisible by 20, among all nodes."""
     nodes = table(spark, sf_dir, "nodes").select("id", "embedding")
-    asked = nodes.where(F.pmod(F.conv(F.substring("id", -8, 8), 16, 10).cast("bigint"), F.lit(20)) == 0)
+    half = lambda at: F.conv(F.substring("id", at, 8), 16, 10).cast("bigint")
+    # 2^32 leaves 16 when divided by 20
+    asked = nodes.where(F.pmod(16 * half(-16) + half(-8), F.lit(20)) == 0)
     return neighbours.search(nodes, asked, "id", "embedding").select("id", "neighbour", "cosine", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -182,10 +182,17 @@ def test_search_recall(spark):
     x = rng.normal(size=(30, 64))[rng.integers(30, size=1500)] + rng.normal(size=(1500, 64)) * 0.8
     ids = [f"n{i:04}" for i in range(len(x))]
     df = frame(spark, [(i, v.tolist()) for i, v in zip(ids, x, strict=True)])
-    got = found(neighbours.search(df, df.where("id like '%0'"), "id", "v", lsh=neighbours.Lsh(tables=8, probes=6, hashes=1, more=0, crowd=20)))
+    got = found(neighbours.search(df, df.where("id like '%0'"), "id", "v", lsh=neighbours.Lsh(tables=8, probes=6, hashes=1, top=127)))
     want = brute(ids, x, 5, -2)
     assert len(got) == 150
     assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in got]) >= 0.9
+    # several hashes, and crowded keys cut into parts: the same rows are met
+    for hashes, probes in ((1, 6), (2, 120), (3, 800)):
+        lsh = [neighbours.Lsh(8, probes, hashes, crowd=c, top=127) for c in (1, 1000)]
+        parted, whole = (found(neighbours.search(df, df.where("id like '%0'"), "id", "v", lsh=own)) for own in lsh)
+        assert parted == whole and len(whole) == 150
+        if hashes < 3:
+            assert np.mean([len(set(whole[i]) & set(want[i])) / 5 for i in whole]) >= 0.9
 
 
 # --- leaks ---------------------------------------------------------------------------

@@ -32,9 +32,9 @@ def cited(seeds: DataFrame, edges: DataFrame, expressions: DataFrame, hops: int
     of its chunks, and what a hop yields is bounded by ``most`` a query and act.
     """
     shelf = Shelf(seeds.sparkSession, "cited")
-    links, _ = shelf.put(edges.where("type = 'CITES' and target_id <> '' and source_id is not null").select(F.col("source_id").alias("id"), canonical_target(F.col("target_id")).alias("target")).distinct())
+    links = edges.where("type = 'CITES' and target_id <> '' and source_id is not null").select(F.col("source_id").alias("id"), canonical_target(F.col("target_id")).alias("target"))
     own = expressions.where("id is not null").select("id", F.col("work_urn").alias("target"))
-    level, _ = shelf.put(seeds.where("query_id is not null and id is not null").select("query_id", "id").distinct().withColumn("hop", F.lit(0)))
+    level = seeds.where("query_id is not null and id is not null").select("query_id", "id").distinct().withColumn("hop", F.lit(0))
     seen = level
     by_id = Window.partitionBy("query_id").orderBy("id")
     for hop in range(1, hops + 1):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = True) -> Da
     that ancestor's own pointer, so distances double; pointers that meet a resolved
     node are resolved. A node of depth d is resolved in round log2(d)+1, and depths
     have no holes, so a round that resolves nothing leaves only cycles and what hangs
-    below them. Hot parents are split by AQE's skew join: every round ends in a
-    written table, so nothing above the join asks for its partitioning.
+    below them. A round writes the rows it moved only; what is resolved stays where it
+    was written. Hot parents are split by AQE's skew join: every round ends in a written
+    table, so nothing above the join asks for its partitioning.
     """
     spark = nodes.sparkSession
     shelf = Shelf(spark, "hierarchy")
@@ -55,27 +58,28 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = True) -> Da
         at_root.alias("done"),
         *([F.when(at_root, F.array().cast("array<string>")).otherwise(F.array("id")).alias("segs")] if with_paths else []),
     )
-    state, place = shelf.put(start)
-    todo = state.where("not done").count()
+    state, _ = shelf.put(start)
+    resolved, open_ = [state.where("done")], state.where("not done")
+    todo = open_.count()
     while todo:
-        p = state.alias("p")
-        c = state.where("not done").alias("c")
-        moved = c.join(p, F.col("c.anc") == F.col("p.id")).select(
-            "c.id",
-            "c.parent",
-            F.col("p.anc").alias("anc"),
-            (F.col("c.dist") + F.col("p.dist")).alias("dist"),
-            F.col("p.done").alias("done"),
-            *([F.concat("c.segs", "p.segs").alias("segs")] if with_paths else []),
+        c, p = open_.alias("c"), reduce(DataFrame.unionByName, [*resolved, open_]).alias("p")
+        moved, _ = shelf.put(
+            c.join(p, F.col("c.anc") == F.col("p.id")).select(
+                "c.id",
+                "c.parent",
+                F.col("p.anc").alias("anc"),
+                (F.col("c.dist") + F.col("p.dist")).alias("dist"),
+                F.col("p.done").alias("done"),
+                *([F.concat("c.segs", "p.segs").alias("segs")] if with_paths else []),
+            )
         )
-        state_2, place_2 = shelf.put(state.where("done").unionByName(moved))
-        left = state_2.where("not done").count()
-        shelf.drop(place)
-        state, place = state_2, place_2
+        resolved.append(moved.where("done"))
+        open_ = moved.where("not done")
+        left = open_.count()
         if left == todo:
             break
         todo = left
-    done = state.where("done").select(
+    done = reduce(DataFrame.unionByName, resolved).select(
         "id",
         "parent",
         F.col("anc").alias("root"),
@@ -85,7 +89,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = True) -> Da
     )
     if not todo:
         return done
-    cyclic = _cycles(spark, shelf, state.where("not done").select("id", "parent")).select(
+    cyclic = _cycles(spark, shelf, open_.select("id", "parent")).select(
         "id",
         "parent",
         "root",

@@ -68,3 +68,14 @@ def without_parent(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
 def documents_without_structure(nodes: DataFrame) -> DataFrame:
     """Acts that have nodes but no STRUCTURAL one."""
     return nodes.groupBy("work_urn").agg(F.bool_or(F.col("type") == "STRUCTURAL").alias("structured"), F.count("*").alias("nodes")).where("not structured").select("work_urn", "nodes")
+
+
+def unnamed(acts: DataFrame) -> DataFrame:
+    """Distinct URNs that name no act: empty or unknown ones, and those made of a hash."""
+    return acts.where("urn in ('', 'urn:', 'urn:unknown') or urn like 'urn:fallback:%'").select("urn").distinct()
+
+
+def embedding_gaps(nodes: DataFrame) -> DataFrame:
+    """``(tag_name, missing, embedded)``: text chunks without and with a vector."""
+    own = nodes.where("type = 'EXPRESSION'")
+    return own.groupBy("tag_name").agg(F.count_if(F.col("embedding").isNull()).alias("missing"), F.count("embedding").alias("embedded"))

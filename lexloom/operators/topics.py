@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import normalize_text
@@ -63,3 +63,11 @@ def hottest(topics: DataFrame, k: int = 1) -> DataFrame:
 def containing(concepts: DataFrame, part: str) -> DataFrame:
     """Distinct concept ids that contain ``part``."""
     return concepts.where(F.col("concept_id").contains(part)).select("concept_id").distinct().withColumn("part", F.lit(part))
+
+
+def best(edges: DataFrame, k: int) -> DataFrame:
+    """``(source_id, topics, best)``: how many topics a chunk has, and the k of greatest score, ties by id; repeated links count once."""
+    own = edges.where("type = 'HAS_TOPIC' and target_id <> '' and source_id is not null").select("source_id", "target_id", "score").distinct()
+    ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))).where(F.col("n") <= k)
+    first = ranked.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "target_id"))), lambda x: x["target_id"]).alias("best"))
+    return own.groupBy("source_id").agg(F.count("*").alias("topics")).join(first, "source_id")

@@ -9,7 +9,7 @@ from lexloom.functions.urns import act_uri_to_urn
 from lexloom.operators.hierarchy import descendants, hierarchy
 from lexloom.operators.intervals import periods_and_gaps
 from lexloom.operators.orphans import EVER, NEVER, orphans, spells
-from lexloom.operators.shred import objects
+from lexloom.operators.shred import objects, related, table_of
 from lexloom.tables import table
 
 #: Names of the repeated fields of a document's JSON (fixed values).
@@ -21,6 +21,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.fillna("", ["eid", "tag_name"])
 
 
+def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects of each repeated ancestor give a field, and how many of them as null."""
+    rows = related(table(spark, sf_dir, "raw_records"), "raw_id", "payload", LISTS, ("metadata",))
+    each = rows.select("ancestor", F.explode_outer("fields").alias("field", "value"))
+    return each.groupBy("ancestor", "field").agg(F.count("*").alias("given"), F.count_if(F.col("value").isNull() & F.col("field").isNotNull()).alias("nulls"))
+
+
+def p1_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of references of nodes of the first level, with the node each belongs to."""
+    rows = related(table(spark, sf_dir, "raw_records"), "raw_id", "payload", LISTS, ("metadata",))
+    refs = table_of(rows, "nodes[].metadata.refs[]", ("href", "text", "range.range_from", "range.range_to"))
+    return refs.select("raw_id", "path", "parent_path", "href", "text", F.col("`range.range_from`").alias("range_from"), F.col("`range.range_to`").alias("range_to"))
+
+
 def _part_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "edges").where("type = 'PART_OF'").select(F.col("source_id").alias("child"), F.col("target_id").alias("parent"))
 
@@ -86,7 +100,7 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orphan_edges(spark, sf_dir).groupBy(referred.alias("referred"), "type", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count("*").alias("orphans"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_hierarchy, p3_descendants, p4_found, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p1_refs, p3_found, p3_hierarchy, p3_descendants, p4_found, p6_found, p6_counts)}
 
 _TREE = """
 with recursive ids as (select distinct id from nodes where id is not null),

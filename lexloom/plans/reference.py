@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom import engine
 from lexloom.functions import classify, dates, text, urns
 from lexloom.operators import enrich, expand, fusion, search, store, topics
+from lexloom.plans.documents import escaped
 from lexloom.sources import akn, files
 from lexloom.tables import table
 
@@ -359,42 +360,20 @@ def orphan_structural(spark, sf):
 
 @query("select distinct urn from works where urn = '' or urn in ('urn:unknown', 'urn:') or urn like 'urn:fallback:%'")
 def unknown_urn(spark, sf):
-    return table(spark, sf, "works").where("urn in ('', 'urn:', 'urn:unknown') or urn like 'urn:fallback:%'").select("urn").distinct()
+    return store.unnamed(table(spark, sf, "works"))
 
 
 @query("select tag_name, count(*) filter (embedding is null) as missing, count(embedding) as embedded from nodes where type = 'EXPRESSION' group by 1")
 def null_embeddings(spark, sf):
-    own = table(spark, sf, "nodes").where("type = 'EXPRESSION'")
-    return own.groupBy("tag_name").agg(F.count_if(F.col("embedding").isNull()).alias("missing"), F.count("embedding").alias("embedded"))
+    return store.embedding_gaps(table(spark, sf, "nodes"))
 
 
-@query("select work_urn, count(*) as nodes from nodes group by 1 having not bool_or(type = 'STRUCTURAL')")
-def doc_validation(spark, sf):
-    return store.documents_without_structure(table(spark, sf, "nodes"))
-
 
 @query(f"with {_PARENT} select n.id, p.parent_id, g.parent_id as grandparent_id from (select distinct id from nodes) n left join p on p.id = n.id left join p g on g.id = p.parent_id")
 def work_lookup(spark, sf):
     return expand.parents(table(spark, sf, "nodes"), table(spark, sf, "edges"))
 
 
-@query(
-    """select id, lag(id) over (partition by work_urn, level order by eid, id) as previous from (select distinct id, work_urn, level, eid from nodes where eid is not null)"""
-)
-def next_chain(spark, sf):
-    from pyspark.sql import Window
-
-    own = table(spark, sf, "nodes").where("eid is not null").select("id", "work_urn", "level", "eid").distinct()
-    return own.select("id", F.lag("id").over(Window.partitionBy("work_urn", "level").orderBy("eid", "id")).alias("previous"))
-
-
-@query("select raw_id, source, case when n = 1 then source else source || '-n' || n end as name from (select raw_id, source, row_number() over (partition by source order by ingested_at, raw_id) as n from raw_records)")
-def occurrence_suffix(spark, sf):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source").orderBy("ingested_at", "raw_id"))
-    return table(spark, sf, "raw_records").select("raw_id", "source", n.alias("n")).select("raw_id", "source", F.when(F.col("n") == 1, F.col("source")).otherwise(F.concat("source", F.lit("-n"), F.col("n").cast("string"))).alias("name"))
-
 
 @query(
     """with s as (select related_work_urn as urn, count(distinct id) as steps, string_agg(distinct step_type, ',' order by step_type) as t from iter_steps where related_work_urn is not null group by 1),
@@ -475,7 +454,7 @@ def rrf_fuse(spark, sf):
     return fusion.fuse(engine.channels(graph, _asked(spark, sf, graph), s), s).select("query_id", "id", F.round("score", 9).alias("score"), "source", big("place"))
 
 
-_HYBRID = f"""with {_HITS}, {_PARENT}, {_ONE}, {_CITED},
+_RAW = f"""with {_HITS}, {_PARENT}, {_ONE}, {_CITED},
   wk as (select urn, title, vigenza_end from {_FIRST.format(k="urn", t="works")} where rn = 1),
   ch as (select ex.id, coalesce(t.tag_name, 'articolo') as context, coalesce(nullif(wk.title, ''), case when ex.work_urn not in ('urn:unknown', '') then ex.work_urn end, ex.id) as work_key,
     case when wk.vigenza_end < date '{DAY}' and not starts_with(coalesce(ex.text_display, ''), '[ATTENZIONE: NORMA ABROGATA]' || chr(10)) then '[ATTENZIONE: NORMA ABROGATA]' || chr(10) || coalesce(ex.text_display, '') else coalesce(ex.text_display, '') end as text
@@ -484,12 +463,15 @@ _HYBRID = f"""with {_HITS}, {_PARENT}, {_ONE}, {_CITED},
   gr as (select query_id, work_key, count(*) as n, max(score) as score, min(place) as spot, arg_min(id, (context, place)) as first_id,
     string_agg('--- ' || context || ' ---' || chr(10) || text, chr(10) || chr(10) order by context, place) as many, max(text) as single, max(context) as ctx, string_agg(id, ',' order by context, place) as members from cut group by 1, 2),
   src as (select query_id, work_key, string_agg(s, '+' order by s) as source from (select distinct query_id, work_key, unnest(string_split(source, '+')) as s from cut) group by 1, 2),
-  mg as (select query_id, case when n = 1 then first_id else 'merged_' || first_id end as id, md5(case when n = 1 then single else many end) as text, case when n = 1 then ctx else 'MULTIPLE_CHUNKS' end as context,
+  mg as (select query_id, case when n = 1 then first_id else 'merged_' || first_id end as id, case when n = 1 then single else many end as text, case when n = 1 then ctx else 'MULTIPLE_CHUNKS' end as context,
     score, source, members, row_number() over (partition by query_id order by round(score, 12) desc, spot) as place from gr join src using (query_id, work_key)),
   hp as (select query_id, id, row_number() over (partition by query_id order by id) as n from (select distinct cut.query_id, ci.id from cut join ci on ci.source_id = cut.id) h
     where not exists (select 1 from cut where cut.query_id = h.query_id and cut.id = h.id))
   select query_id, place, id, text, context, round(score, 9) as score, source, members from mg
-  union all select query_id, null, ch.id, md5(ch.text), ch.context, 0.0, 'citation_hop', ch.id from hp join ch using (id) where n <= 10"""
+  union all select query_id, null, ch.id, ch.text, ch.context, 0.0, 'citation_hop', ch.id from hp join ch using (id) where n <= 10"""
+
+
+_HYBRID = f"select query_id, place, id, md5(text) as text, context, score, source, members from ({_RAW})"
 
 
 @query(_HYBRID)
@@ -506,11 +488,14 @@ def prompt_sources(spark, sf):
     return found.groupBy("query_id").agg(F.count("place").alias("results"), F.count_if(F.col("place").isNull()).alias("hops"), order.alias("o")).select("query_id", "results", "hops", F.array_join(F.transform("o", lambda x: x["id"]), ",").alias("ids"))
 
 
-@query()
+@query(
+    f"""with r as ({_RAW}), c as (select query_id, string_agg(text, chr(10) || chr(10) order by coalesce(place, 1000000), id) as context from r group by 1)
+  select q.query_id, md5('Contesto:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Domanda: ' || t || chr(10) || 'Risposta:') as prompt from ({_Q}) q left join c using (query_id)"""
+)
 def prompt_context(spark, sf):
     graph = _graph(spark, sf)
     found = engine.retrieve(graph, _asked(spark, sf, graph), F.lit(DAY).cast("date"))
-    return engine.prompt(found, _questions(spark))
+    return engine.prompt(found, _questions(spark)).select("query_id", F.md5("prompt").alias("prompt"))
 
 
 # --- documents -----------------------------------------------------------------------
@@ -531,23 +516,15 @@ def _documents(spark, sf) -> DataFrame:
 
 @query(
     r"""select row_id::varchar as path, date_promulgation as promulgated, nullif(trim(regexp_replace(title, '[\s\x0B\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')), '') as title, doc_number, doc_type,
-  least(vigenza_start, vigenza_end) as first_day, case when vigenza_start <> vigenza_end then greatest(vigenza_start, vigenza_end) end as last_day from works"""
+  least(vigenza_start, vigenza_end) as first_day, case when vigenza_start <> vigenza_end then greatest(vigenza_start, vigenza_end) end as last_day,
+  case when c like '/akn/%' then case when len(p) >= 4 then 'urn:nir:' || p[2] || ':' || p[1] || ':' || p[3] || ';' || p[4] else 'urn:akn:' || b end when c like 'urn:%' then c else 'urn:akn:' || c end as urn
+  from (select *, string_split(trim(b, '/'), '/') as p from (select *, regexp_replace(c, '^/akn/it/act/', '') as b from (select *, regexp_replace(frbr_work_uri || '/!main', '/?!?main.*$', '') as c from works)))"""
 )
 def xml_parse_meta(spark, sf):
     docs = akn.parsed(_documents(spark, sf))
-    return docs.select("path", F.to_date("frbr.date_promulgation").alias("promulgated"), F.col("frbr.title").alias("title"), F.col("frbr.doc_number").alias("doc_number"), F.col("frbr.doc_type").alias("doc_type"), F.to_date("frbr.vigenza_start").alias("first_day"), F.to_date("frbr.vigenza_end").alias("last_day"))
-
-
-@query("select eid, type, level::bigint as level, count(*) as n from (select unnest([{'eid': 'body', 'type': 'STRUCTURAL', 'level': 0}, {'eid': 'article1', 'type': 'STRUCTURAL', 'level': 1}, {'eid': 'article1__gen_paragraph_1', 'type': 'STRUCTURAL', 'level': 2}, {'eid': 'article1__gen_paragraph_1__gen_content_2', 'type': 'EXPRESSION', 'level': 3}, {'eid': 'article1__gen_paragraph_3', 'type': 'STRUCTURAL', 'level': 2}, {'eid': 'article1__gen_paragraph_3__gen_content_4', 'type': 'EXPRESSION', 'level': 3}]) as x from works) as t(x), lateral (select x.eid as eid, x.type as type, x.level as level) group by 1, 2, 3")
-def xml_parse_nodes(spark, sf):
-    return akn.nodes(akn.parsed(_documents(spark, sf))).groupBy("eid", "type", big("level")).agg(F.count("*").alias("n"))
+    return docs.select("path", F.to_date("frbr.date_promulgation").alias("promulgated"), F.col("frbr.title").alias("title"), F.col("frbr.doc_number").alias("doc_number"), F.col("frbr.doc_type").alias("doc_type"), F.to_date("frbr.vigenza_start").alias("first_day"), F.to_date("frbr.vigenza_end").alias("last_day"), F.col("frbr.urn").alias("urn"))
 
 
-@query("select unnest(['PART_OF', 'NEXT', 'CITES']) as type, unnest([5, 2, 1]) * count(*) as n from works")
-def xml_parse_edges(spark, sf):
-    docs = akn.parsed(_documents(spark, sf))
-    return docs.select(F.inline("edges")).groupBy("type").agg(F.count("*").alias("n"))
-
 
 @query()
 def embed_batch(spark, sf):
@@ -555,14 +532,6 @@ def embed_batch(spark, sf):
     return enrich.embed(own, "text_vector", enrich.hash_provider()).select("id", "embedding", "embed_error")
 
 
-def _escaped(c):
-    """A column's text within XML."""
-    out = F.coalesce(c, F.lit(""))
-    for sign, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
-        out = F.replace(out, F.lit(sign), F.lit(name))
-    return out
-
-
 @query(
     r"""select row_id, date, array_to_string(list_distinct(affected_urns), ' ') = '' as none, array_to_string(list_sort(list_distinct(list_filter(affected_urns, lambda u: u like 'urn:nir:%'))), ' ') as urns
   from judgements where date <> ''"""
@@ -570,7 +539,7 @@ def _escaped(c):
 def judgement_extract(spark, sf):
     """Court files made of every judgement, and what is read from them."""
     j = table(spark, sf, "judgements")
-    body = F.concat(F.lit('<atto><sentenza date="'), _escaped(F.col("date")), F.lit('"> visti '), _escaped(F.array_join("affected_urns", " ")), F.lit(" </sentenza></atto>"))
+    body = F.concat(F.lit('<atto><sentenza date="'), escaped(F.col("date")), F.lit('"> visti '), escaped(F.array_join("affected_urns", " ")), F.lit(" </sentenza></atto>"))
     read = files.judgements(j.select(F.concat(F.lit("/c/"), F.col("row_id").cast("string"), F.lit(".xml")).alias("path"), body.alias("content")))
     none = j.select("row_id", (F.size(F.array_distinct("affected_urns")) <= 0).alias("none"))
     return read.select(F.split("id", ":")[1].cast("bigint").alias("row_id"), "date", F.array_join(F.array_sort("affected_urns"), " ").alias("urns")).join(none, "row_id")
@@ -583,7 +552,7 @@ def judgement_extract(spark, sf):
 def link_scrape(spark, sf):
     """Pages made of every link, and the links read from them."""
     own = table(spark, sf, "edges").select("edge_id", F.col("properties.href").alias("href"), F.col("properties.text").alias("text")).where("href <> ''")
-    html = F.concat(F.lit('<html><body><p>Vedi <a class="x" href="'), _escaped(F.col("href")), F.lit('"><b>'), _escaped(F.col("text")), F.lit("</b></a><a>nulla</a></p>"))
+    html = F.concat(F.lit('<html><body><p>Vedi <a class="x" href="'), escaped(F.col("href")), F.lit('"><b>'), escaped(F.col("text")), F.lit("</b></a><a>nulla</a></p>"))
     pages = own.select(F.concat(F.lit("http://atti.esempio/"), F.col("edge_id").cast("string"), F.lit("/")).alias("url"), html.alias("html"))
     return files.links(pages).select("page", "href", "url")
 
@@ -593,7 +562,7 @@ def thesaurus_load(spark, sf):
     """RDF made of every label, and the labels read from it."""
     c = table(spark, sf, "concepts")
     tag = F.concat(F.lit("skos:"), F.col("kind"), F.lit("Label"))
-    rdf = F.concat(F.lit('<rdf:RDF xmlns:rdf="r" xmlns:skos="s"><skos:Concept rdf:about="'), _escaped(F.col("concept_id")), F.lit('"><'), tag, F.lit(' xml:lang="it">'), _escaped(F.col("label")), F.lit("</"), tag, F.lit('><skos:altLabel xml:lang="en">x</skos:altLabel></skos:Concept></rdf:RDF>'))
+    rdf = F.concat(F.lit('<rdf:RDF xmlns:rdf="r" xmlns:skos="s"><skos:Concept rdf:about="'), escaped(F.col("concept_id")), F.lit('"><'), tag, F.lit(' xml:lang="it">'), escaped(F.col("label")), F.lit("</"), tag, F.lit('><skos:altLabel xml:lang="en">x</skos:altLabel></skos:Concept></rdf:RDF>'))
     return files.thesaurus(files.triples(c.select(rdf.alias("content"))))[0]
 
 
@@ -602,13 +571,7 @@ def thesaurus_load(spark, sf):
 )
 def expressions_by_topic(spark, sf):
     """Each chunk's three best topics."""
-    from pyspark.sql import Window
-
-    own = table(spark, sf, "edges").where("type = 'HAS_TOPIC' and target_id <> ''").select("source_id", "target_id", "score").distinct()
-    w = Window.partitionBy("source_id")
-    some = own.withColumns({"n": F.row_number().over(w.orderBy(F.desc("score"), "target_id")), "topics": F.count("*").over(w)}).where("n <= 3")
-    order = F.array_sort(F.collect_list(F.struct("n", "target_id")))
-    return some.groupBy("source_id", "topics").agg(F.array_join(F.transform(order, lambda x: x["target_id"]), ",").alias("best"))
+    return topics.best(table(spark, sf, "edges"), 3).select("source_id", "topics", F.array_join("best", ",").alias("best"))
 
 
 @query("select time_bucket(interval 1 hour, ts) as start, event_type as kind, count(*) as n from events group by 1, 2")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import problems, reference
+from lexloom.plans import documents, problems, reference
 
-QUERIES = {**reference.QUERIES, **problems.QUERIES}
-SQL = {**reference.SQL, **problems.SQL}
+QUERIES = {**reference.QUERIES, **documents.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **documents.SQL, **problems.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

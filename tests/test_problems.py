@@ -4,12 +4,13 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators.hierarchy import descendants, hierarchy
 from lexloom.operators.intervals import OPEN, merged, periods_and_gaps
 from lexloom.operators.orphans import orphans, spells
-from lexloom.operators.shred import objects
+from lexloom.operators.shred import _deep, decode, objects, related, scalar, table_of
 from lexloom.plans.problems import LISTS
 
 
@@ -51,6 +52,38 @@ def test_shred_unusable_payloads_give_no_rows(spark):
     assert shredded(spark, None, "", "[]", "3", '{"nodes": [{}]', '{"nodes": [{"eid": NaN}]}', "null", "{}", '{"nodes": []}') == []
 
 
+def test_shred_of_any_depth(spark):
+    for depth in (10, 5200):
+        p = '{"nodes": [{"eid": "a", ' + '"children": [{' * depth + '"tag_name": "x"' + "}]" * depth + "}]}"
+        got = shredded(spark, p[:-1], p + " ")
+        assert len(got) == depth + 1 and {r[0] for r in got} == {1}
+        assert max(r[1].count("children[0]") for r in got) == depth and [r for r in got if r[4] == "x"][0][1].count("children") == depth
+    odd = '{"a": [1, -2.50e3, "x\\u00e9", true, false, null, {}, [], {"b": [ ]}], "c" : {"d":"" , "e":{ }}}'
+    assert _deep(odd) == decode(odd)
+    for bad in ("", "{", '{"a"}', '{"a": 1,}', "[1,]", "[1 2]", "{} x", '{"a": NaN}', '{"a": "x}', "[}", '{"a": 01}'):
+        with pytest.raises(ValueError):
+            _deep(bad)
+    deep = {"a": []}
+    for _ in range(6000):
+        deep = {"a": [deep, None, "è"]}
+    assert scalar(deep).count("è") == 6000
+
+
+def test_shred_tables_with_absent_and_null_apart(spark):
+    doc = {"nodes": [{"eid": None, "metadata": json.dumps({"a": {"b": 1.25, "c": None}, "refs": [{"href": "x"}, {"range": {"from": "1"}}]})}, {"metadata": {}, "tags": ["p", {"q": 1}]}, {}]}
+    df = spark.createDataFrame([(1, json.dumps(doc), "x"), (2, None, "x"), (3, "[]", "x")], "raw_id bigint, payload string, fields string")
+    got = related(df, "raw_id", "payload", LISTS, ("metadata",))
+    assert sorted((r["ancestor"], r["path"], tuple(sorted(r["fields"].items()))) for r in got.collect()) == [
+        ("nodes[]", "nodes[0]", (("eid", None), ("metadata.a.b", "1.25"), ("metadata.a.c", None))),
+        ("nodes[]", "nodes[1]", (("metadata", "{}"), ("tags", '["p", {"q": "1"}]'))),
+        ("nodes[]", "nodes[2]", ()),
+        ("nodes[].metadata.refs[]", "nodes[0].metadata.refs[0]", (("href", "x"),)),
+        ("nodes[].metadata.refs[]", "nodes[0].metadata.refs[1]", (("range.from", "1"),)),
+    ]
+    assert rows(table_of(got, "nodes[].metadata.refs[]", ("href", "range.from"))) == [(1, "nodes[0].metadata.refs[0]", "nodes[0]", "x", None), (1, "nodes[0].metadata.refs[1]", "nodes[0]", None, "1")]
+    assert related(df.limit(0), "raw_id", "payload", LISTS).count() == 0
+
+
 def test_shred_repeated_records_and_odd_values(spark):
     p = '{"nodes": [{"eid": true, "tag_name": {"a": 1.50}, "k%d.[x]": {"children": [{}]}}], "nodes": [{"eid": "\\ud800"}]}'
     got = shredded(spark, p, p)

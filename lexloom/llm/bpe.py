@@ -5,8 +5,12 @@ step k puts in a gadget: the state behind u loses its arc v, and each state that
 arcs u and then v gets an arc uv, to a copy of the state behind v. So a state is
 named by the token that led into it, and an arc (t, w) is settled by the steps at
 which its parts came and went. The accepted paths are exactly the token sequences
-that the merges produce, and every text has one. All states times all tokens would be
-some 2.5 billion arcs; they are settled on first use and then looked up.
+that the merges produce, and every text has one.
+
+The merges are compiled once, on the driver, into tables of numbers that go to every
+worker: birth and parts of each state, steps at which arcs went, and the labels as a tree
+of bytes. Of the table of arcs (all states times all tokens would be 2.5 billion) a worker
+fills in those it meets, each settled once and then looked up.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the public vocabularies lie, and the one used.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: How byte-level BPE cuts a text into words (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker remembers before it begins anew, and the longest remembered.
 KEPT, KEPT_CHARS = 200_000, 64
+#: Arcs a worker keeps before it begins anew: with the words, some 150 MB at most.
+ARCS = 1_000_000
 NEVER = 1 << 60
 
 
@@ -45,14 +49,16 @@ class Automaton:
         self.born = {vocab[c]: -1 for c in letter if c in vocab}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self.gone: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        #: Arcs by the number state * size + token.
+        self.size = 1 + max(vocab.values(), default=0)
+        self.gone: dict[int, int] = {}
+        self.arcs: dict[int, bool] = {}
         for k, (a, b) in enumerate(merges):
             u, v = vocab[a], vocab[b]
             w = vocab[a + b]
             if w not in self.born and u in self.born and v in self.born and self._has(u, v, k):
                 self.born[w], self.left[w], self.right[w] = k, u, v
-            self.gone.setdefault((u, v), k)
+            self.gone.setdefault(u * self.size + v, k)
         self.trie: dict[int, list] = {}
         for i in self.born:
             at = self.trie
@@ -62,9 +68,9 @@ class Automaton:
 
     def _has(self, t: int, w: int, step: int) -> bool:
         """Whether state t has arc w before the given step."""
-        gone, born = self.gone, self.born
+        gone, born, size = self.gone, self.born, self.size
         while True:
-            if gone.get((t, w), NEVER) < step:
+            if gone.get(t * size + w, NEVER) < step:
                 return False
             bt, bw = born[t], born[w]
             if bt < 0 and bw < 0:
@@ -76,9 +82,9 @@ class Automaton:
 
     def arc(self, t: int, w: int) -> bool:
         """Whether the finished automaton has arc w from state t."""
-        key = (t, w)
+        key = t * self.size + w
         if (has := self.arcs.get(key)) is None:
-            if len(self.arcs) > 4_000_000:
+            if len(self.arcs) >= ARCS:
                 self.arcs.clear()
             has = self.arcs[key] = self._has(t, w, NEVER)
         return has
@@ -108,22 +114,16 @@ class Automaton:
         return b"".join(self.label[i] for i in ids)
 
 
-def read_rules(path: str = TOKENIZER) -> str:
-    """Vocabulary and merges of a byte-level BPE file, as JSON text."""
+@lru_cache(maxsize=2)
+def compiled(path: str) -> Automaton:
+    """The automaton of a byte-level BPE file."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
-    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    return json.dumps([model["vocab"], merges])
-
-
-@lru_cache(maxsize=2)
-def compiled(rules: str) -> Automaton:
-    vocab, merges = json.loads(rules)
-    return Automaton(vocab, [tuple(m) for m in merges])
+    return Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], rules: object) -> Iterator[pa.RecordBatch]:
-    machine, find = compiled(rules.value), regex.compile(WORDS).findall
+    machine, find = rules.value, regex.compile(WORDS).findall
     known: dict[str, array] = {}
     for b in batches:
         flat, ends = array("i"), [0]
@@ -143,26 +143,26 @@ def _encode(batches: Iterator[pa.RecordBatch], rules: object) -> Iterator[pa.Rec
 
 
 def _decode(batches: Iterator[pa.RecordBatch], rules: object) -> Iterator[pa.RecordBatch]:
-    machine = compiled(rules.value)
+    machine = rules.value
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else machine.decode(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()], pa.string())], ["key", "text"])
 
 
-def encode(documents: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """``(key, ids)``: the ids of every text, without special tokens.
+def encode(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """``(key, ids)``: the ids of every text by the byte-level BPE file at ``path``, without special tokens.
 
     Null and empty texts give an empty list; white space and all other characters are
     encoded as they stand; repeated rows give their rows again; other columns are
-    ignored. A narrow pass without any shuffle: the merges (a public vocabulary, some
-    3 MB) go to the workers once, which compile them and remember the ids of words.
+    ignored. A narrow pass without any shuffle: the compiled automaton (some 4 MB) goes to
+    the workers once, which remember the ids of words.
     """
-    rules = documents.sparkSession.sparkContext.broadcast(read_rules(path))
+    rules = documents.sparkSession.sparkContext.broadcast(compiled(path))
     rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(partial(_encode, rules=rules), "key bigint, ids array<int>").withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, key: str, ids: str, path: str = TOKENIZER) -> DataFrame:
+def decode(encoded: DataFrame, key: str, ids: str, path: str) -> DataFrame:
     """``(key, text)`` of lists of ids; a null list gives null, an empty one ''."""
-    rules = encoded.sparkSession.sparkContext.broadcast(read_rules(path))
+    rules = encoded.sparkSession.sparkContext.broadcast(compiled(path))
     rows = encoded.select(F.col(key).cast("bigint").alias("key"), F.col(ids).alias("ids"))
     return rows.mapInArrow(partial(_decode, rules=rules), "key bigint, text string").withColumnRenamed("key", key)

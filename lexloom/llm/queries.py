@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from lexloom.llm import bpe, languages, leaks, mojibake, neighbours, split
 from lexloom.tables import table
 
 
+#: Where the public vocabulary lies.
+TOKENIZER = os.environ.get("LEXLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that may have been misread: titles of works, descriptions of steps and judgements."""
     one = lambda t, c: table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "row_id", F.col(c).alias("text"))
@@ -58,12 +64,12 @@ def p7_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TOKENIZER)
 
 
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts put together again from their ids: lengths and hashes."""
-    back = bpe.decode(p8_ids(spark, sf_dir), "doc_id", "ids")
+    back = bpe.decode(p8_ids(spark, sf_dir), "doc_id", "ids", TOKENIZER)
     return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
 
 

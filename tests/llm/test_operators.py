@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import bpe, languages, leaks, mojibake, neighbours, split
+from lexloom.llm.queries import TOKENIZER
 
 # --- tokens --------------------------------------------------------------------------
 
@@ -18,17 +19,17 @@ ODD = [None, "", " ", "\n\n \t", "a", "è" * 3, "👩‍👩‍👧 🇮🇹 x"
 
 def test_ids_as_the_public_library_has_them(spark):
     tokenizers = pytest.importorskip("tokenizers")
-    t = tokenizers.Tokenizer.from_file(bpe.TOKENIZER)
+    t = tokenizers.Tokenizer.from_file(TOKENIZER)
     t.encode_special_tokens = True
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(["a", "th", "in", " ", "  ", "\n", "é", "'s", "1", "-", "😀", "ing"]) for _ in range(rng.randrange(60))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumns({"ids": F.lit("junk"), "key": F.lit("junk")})
-    ids = bpe.encode(df, "doc_id", "text")
+    ids = bpe.encode(df, "doc_id", "text", TOKENIZER)
     got = {r["doc_id"]: r["ids"] for r in ids.collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
-    assert {r["doc_id"]: r["text"] for r in bpe.decode(ids, "doc_id", "ids").collect()} == {i: x or "" for i, x in enumerate(texts)}
-    assert bpe.encode(df.unionByName(df), "doc_id", "text").count() == 2 * len(texts)
-    assert bpe.encode(df.limit(0), "doc_id", "text").count() == 0
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(ids, "doc_id", "ids", TOKENIZER).collect()} == {i: x or "" for i, x in enumerate(texts)}
+    assert bpe.encode(df.unionByName(df), "doc_id", "text", TOKENIZER).count() == 2 * len(texts)
+    assert bpe.encode(df.limit(0), "doc_id", "text", TOKENIZER).count() == 0
 
 
 def test_automaton_on_small_merges():
@@ -187,8 +188,8 @@ def test_search_recall(spark):
     assert len(got) == 150
     assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in got]) >= 0.9
     # several hashes, and crowded keys cut into parts: the same rows are met
-    for hashes, probes in ((1, 6), (2, 120), (3, 800)):
-        lsh = [neighbours.Lsh(8, probes, hashes, crowd=c, top=127) for c in (1, 1000)]
+    for hashes, probes, most in ((1, 6, ()), (2, 160, (8, 24)), (3, 800, (8, 14, 14))):
+        lsh = [neighbours.Lsh(8, probes, hashes, crowd=c, top=127, axes=most) for c in (1, 1000)]
         parted, whole = (found(neighbours.search(df, df.where("id like '%0'"), "id", "v", lsh=own)) for own in lsh)
         assert parted == whole and len(whole) == 150
         if hashes < 3:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import normalize_text
 
 
+#: First words of labels that are looked up in a list.
+FIRST_WORDS = 20_000
+
+
 def dictionary(labels: DataFrame) -> DataFrame:
     """``(label, concept_id, kind)``: one concept for each normalised label.
 
@@ -27,12 +31,22 @@ def match(texts: DataFrame, labels: DataFrame) -> DataFrame:
     a text the one that ends first counts, the longest at equal ends; the score is 1.
     Null texts and an empty dictionary give no rows. Stretches of as many words as some
     label has are joined by hash with the labels, which Spark broadcasts if they are small.
+    Stretches begin only where some label of their size does, as long as these first words
+    are ``FIRST_WORDS`` at most; with more of them, everywhere.
     """
-    sizes = sorted(r["n"] for r in labels.select(F.size(F.split("label", " ")).alias("n")).distinct().collect())
+    parts = F.split("label", " ")
+    counts = labels.groupBy(F.size(parts).alias("n")).agg(F.count_distinct(parts[0]).alias("words")).collect()
+    sizes = sorted(r["n"] for r in counts)
+    firsts: dict[int, list[str]] = {}
+    if sum(r["words"] for r in counts) <= FIRST_WORDS:
+        for r in labels.select(F.size(parts).alias("n"), parts[0].alias("word")).distinct().collect():
+            firsts.setdefault(r["n"], []).append(r["word"])
     words = texts.where("id is not null and text is not null").select("id", F.split(normalize_text(F.col("text")), " ").alias("w"))
 
     def stretches(n: int) -> Column:
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        if n in firsts:
+            starts = F.filter(starts, lambda i: F.element_at("w", i).isin(firsts[n]))
         return F.transform(starts, lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("label"), (i + n - 1).cast("int").alias("last"), F.lit(n).alias("n")))
 
     gram = F.concat(F.array().cast("array<struct<label:string,last:int,n:int>>"), *map(stretches, sizes))

@@ -10,7 +10,7 @@ from lexloom.operators.hierarchy import descendants, hierarchy
 from lexloom.operators.intervals import periods_and_gaps
 from lexloom.operators.orphans import EVER, NEVER, orphans, spells
 from lexloom.operators.shred import objects, related, table_of
-from lexloom.tables import table
+from lexloom.tables import Shelf, table
 
 #: Names of the repeated fields of a document's JSON (fixed values).
 LISTS = ("nodes", "children", "refs", "mods", "quoted", "events", "iter_legis")
@@ -76,7 +76,9 @@ def _orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     dead = lambda t: gone.where(F.col("table_name") == t).select(F.col("entity_key").alias("key"), F.col("deleted_at").alias("at"))
     born = nodes.where("id is not null").groupBy("id").agg(F.min("ingested_at").alias("since"))
     node_dead = dead("nodes").where("key is not null").groupBy(F.col("key").alias("id")).agg(F.min("at").alias("until"))
-    node_spans = born.join(node_dead, "id", "left").select("id", "since", F.coalesce("until", F.lit(NEVER).cast("timestamp_ntz")).alias("until"))
+    # both are read twice: node spans for nodes and places, all spans by both anti-joins
+    shelf = Shelf(spark, "spans")
+    node_spans, _ = shelf.put(born.join(node_dead, "id", "left").select("id", "since", F.coalesce("until", F.lit(NEVER).cast("timestamp_ntz")).alias("until")))
     places = nodes.where("eid is not null and work_urn is not null").select("id", F.concat("work_urn", F.lit("#"), "eid").alias("key")).distinct()
     ever, never = F.lit(EVER).cast("timestamp_ntz"), F.lit(NEVER).cast("timestamp_ntz")
     spans = (
@@ -86,7 +88,7 @@ def _orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(concepts.where("concept_id is not null").groupBy(F.col("concept_id").alias("key")).agg(F.min("retired_at").alias("until")).select(F.lit("concepts").alias("referred"), "key", ever.alias("since"), F.coalesce("until", never).alias("until")))
     )
     allowed = F.when(F.col("u.scope") == "concept", F.col("s.referred") == "concepts").when(F.col("u.scope") == "node", F.col("s.referred") == "nodes").otherwise(F.col("s.referred") != "concepts")
-    return orphans(_references(spark, sf_dir), spans, allowed)
+    return orphans(_references(spark, sf_dir), shelf.put(spans)[0], allowed)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,15 @@ def xml_parse_nir(spark, sf):
     return docs.select("path", "frbr.urn", F.to_date("frbr.date_promulgation").alias("promulgated"), F.to_date("frbr.vigenza_start").alias("first_day"), "frbr.title", "frbr.doc_type", "frbr.doc_number", chunk["eid"].alias("eid"), chunk["text_content"].alias("text"))
 
 
+@query("select row_id::varchar as path, row_id % 4 as kind, row_id % 4 < 3 as failed from works")
+def xml_parse_errors(spark, sf):
+    """Acts that can't be parsed beside ones that can: none at all, no element, no header, and a torn one that is read all the same."""
+    n = F.col("row_id") % 4
+    content = F.when(n == 0, None).when(n == 1, "plain < text").when(n == 2, "<akomaNtoso><act><body/></act></akomaNtoso>").otherwise("<akomaNtoso><act><meta/><body><article><p>x</body>")
+    docs = akn.parsed(table(spark, sf, "works").select(F.col("row_id").cast("string").alias("path"), content.alias("content")))
+    return docs.select("path", F.pmod(F.col("path").cast("bigint"), F.lit(4)).alias("kind"), F.col("error").isNotNull().alias("failed"))
+
+
 @query("select row_id::varchar as path, 'urn:nir:stato:legge:' || row_id as urn, 'eli/' || row_id as eli, 12::bigint as nodes from works")
 def documents_jsonl(spark, sf):
     """Acts written as JSON lines and read again, one of three spoilt: a line without a URN, and one that is no JSON, are left out."""
@@ -195,6 +204,50 @@ def chamber_steps(spark, sf):
     return files.chamber_steps(spark, place).select("id", "date", "authority", "related_work_urn", F.md5("description").alias("description")).distinct()
 
 
+def _results(spark: SparkSession, rows: DataFrame, times: int = 1) -> str:
+    """Where the rows lie as SPARQL results, one a line; nulls are unbound."""
+    place = f"{Shelf(spark, 'results').at}/lines"
+    bound = F.struct(*(F.when(F.col(c).isNotNull(), F.struct(F.lit("literal").alias("type"), F.col(c).alias("value"))).alias(c) for c in rows.columns))
+    for _ in range(times):
+        rows.select(F.to_json(F.struct(F.struct(F.array(bound).alias("bindings")).alias("results"))).alias("value")).write.mode("append").text(place)
+    return place
+
+
+@query(
+    """select frbr_work_uri as uri, doc_number as number, title, 'http://x/' || row_id as xml_url, 'ddl_' || regexp_replace(coalesce(doc_number, 'NA'), '[^A-Za-z0-9.-]', '', 'g') || '.xml' as file
+  from works where row_id % 2 = 0"""
+)
+def bill_files(spark, sf):
+    """Bills of a SPARQL result; those without an XML address aren't fetched."""
+    url = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("http://x/"), F.col("row_id").cast("string")))
+    return files.bills(spark, _results(spark, table(spark, sf, "works").select(F.col("frbr_work_uri").alias("uri"), F.col("doc_number").alias("number"), "title", url.alias("xml_url"))), True)
+
+
+@query(
+    r"""with w as (select frbr_work_uri as uri, 'C' || row_id as celex, title, strftime(date_promulgation, '%Y-%m-%d') as date from works)
+  select uri, celex, title, date, date || '_' || celex || '_' || left(regexp_replace(coalesce(title, ''), '[^\p{L}\p{N}]+', '_', 'g'), 100) as file from w where date >= '2000-01-01'"""
+)
+def eu_files(spark, sf):
+    """EU acts of a SPARQL result that was fetched twice, from a day on."""
+    rows = table(spark, sf, "works").select(F.col("frbr_work_uri").alias("uri"), F.concat(F.lit("C"), F.col("row_id").cast("string")).alias("celex"), "title", F.date_format("date_promulgation", "yyyy-MM-dd").alias("date"))
+    return files.eu_acts(spark, _results(spark, rows, 2), "2000-01-01", lines=True)
+
+
+@query(
+    """select 'http://corte.esempio/p/' || row_id || '/' || case when row_id % 3 = 0 then 'pronunce' when row_id % 3 = 1 then 'Dati' else 'altro' end || '/' || row_id || case when row_id % 2 = 0 then '.XML' else '.zip' end as url
+  from works where row_id % 3 < 2 and (row_id % 2 = 0 or row_id % 5 = 0)"""
+)
+def court_links(spark, sf):
+    """Files of pronouncements that pages made of every act link to, each page twice."""
+    n = F.col("row_id").cast("string")
+    folder = F.when(F.col("row_id") % 3 == 0, "pronunce").when(F.col("row_id") % 3 == 1, "Dati").otherwise("altro")
+    href = F.concat(folder, F.lit("/"), n, F.when(F.col("row_id") % 2 == 0, ".XML").otherwise(".zip"))
+    shown = F.when(F.col("row_id") % 5 == 0, "file xml").otherwise("file")
+    html = F.concat(F.lit("<p><a href='"), href, F.lit("'>"), shown, F.lit("</a> <a href='/pronunce/elenco.html'>tutte</a></p>"))
+    pages = table(spark, sf, "works").select(F.concat(F.lit("http://corte.esempio/p/"), n, F.lit("/")).alias("url"), html.alias("html"))
+    return files.court_files(pages.unionByName(pages))
+
+
 @query("select work_urn, count(*) as nodes from nodes where level >= 2 group by 1 having not bool_or(type = 'STRUCTURAL')")
 def doc_validation(spark, sf):
     """Acts whose nodes from the second level down hold no STRUCTURAL one."""

@@ -81,22 +81,22 @@ def judgements(files: DataFrame, court: str = "Corte Costituzionale") -> DataFra
     return rows.select(F.concat_ws(":", F.lit("cortecost"), stem, "date", F.substring(F.md5("text"), 1, 8)).alias("id"), "date", F.left("text", F.lit(500)).alias("description"), F.lit(court).alias("court"), "judgement_type", F.lit(None).cast("string").alias("judgement_result"), urns_in(F.col("text")).alias("affected_urns"))
 
 
-def sparql_rows(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
-    """Bindings of a SPARQL JSON result file as columns; an unbound variable is null."""
+def sparql_rows(spark: SparkSession, path: str, names: tuple[str, ...], lines: bool = False) -> DataFrame:
+    """Bindings of SPARQL JSON results as columns; an unbound variable is null. A file is one result, or has one a line (pages fetched one after the other)."""
     struct = ", ".join(f"`{n}`: struct<value: string>" for n in names)
-    raw = spark.read.option("multiLine", True).schema(f"results struct<bindings: array<struct<{struct}>>>").json(path)
+    raw = spark.read.option("multiLine", not lines).schema(f"results struct<bindings: array<struct<{struct}>>>").json(path)
     return raw.select(F.explode("results.bindings").alias("b")).select(*(F.col(f"b.`{n}`.value").alias(n) for n in names))
 
 
-def bills(spark: SparkSession, path: str) -> DataFrame:
+def bills(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Bills with an XML address, and the name their file gets."""
-    rows = sparql_rows(spark, path, ("uri", "number", "title", "xml_url"))
+    rows = sparql_rows(spark, path, ("uri", "number", "title", "xml_url"), lines)
     return rows.where("xml_url is not null").withColumn("file", F.concat(F.lit("ddl_"), F.regexp_replace(F.coalesce("number", F.lit("NA")), "[^A-Za-z0-9.-]", ""), F.lit(".xml")))
 
 
-def eu_acts(spark: SparkSession, path: str, since: str, limit: int = 0) -> DataFrame:
+def eu_acts(spark: SparkSession, path: str, since: str, limit: int = 0, lines: bool = False) -> DataFrame:
     """EU acts from a day on, each by its CELEX number once; the first ``limit`` by date, if one is asked for."""
-    rows = sparql_rows(spark, path, ("uri", "celex", "title", "date")).where(F.col("celex").isNotNull() & (F.col("date") >= since)).dropDuplicates(["celex"])
+    rows = sparql_rows(spark, path, ("uri", "celex", "title", "date"), lines).where(F.col("celex").isNotNull() & (F.col("date") >= since)).dropDuplicates(["celex"])
     clean = F.left(F.regexp_replace(F.coalesce("title", F.lit("")), r"[^\p{L}\p{N}]+", "_"), F.lit(100))
     named = rows.withColumn("file", F.concat_ws("_", "date", "celex", clean))
     return named.orderBy("date", "celex").limit(limit) if limit else named

@@ -8,11 +8,11 @@ from html.parser import HTMLParser
 from xml.parsers import expat
 
 #: Tags by class (fixed values).
-STRUCTURAL = frozenset("book title part chapter section article subchapter subsection libro titolo capo sezione articolo attachment annex doc".split())
-ATOMIC = frozenset("paragraph subparagraph content list point indent alinea item comma el lettera".split())
-SKIPPED = frozenset("meta identification lifecycle workflow references analysis temporalData presentation components num heading".split())
-FORMATTING = frozenset("i b u sub sup span br eol p docTitle docType docNumber docDate docProponent".split())
-INLINE = frozenset("ref rref mref mod quotedStructure quotedText noteRef authorialNote".split())
+STRUCTURAL = frozenset({"book", "title", "part", "chapter", "section", "article", "subchapter", "subsection", "libro", "titolo", "capo", "sezione", "articolo", "attachment", "annex", "doc"})
+ATOMIC = frozenset({"paragraph", "subparagraph", "content", "list", "point", "indent", "alinea", "item", "comma", "el", "lettera"})
+SKIPPED = frozenset({"meta", "identification", "lifecycle", "workflow", "references", "analysis", "temporalData", "presentation", "components", "num", "heading"})
+FORMATTING = frozenset({"i", "b", "u", "sub", "sup", "span", "br", "eol", "p", "docTitle", "docType", "docNumber", "docDate", "docProponent"})
+INLINE = frozenset({"ref", "rref", "mref", "mod", "quotedStructure", "quotedText", "noteRef", "authorialNote"})
 TABLE, ROWS, CELLS = frozenset(["table"]), frozenset(["tr", "row"]), frozenset(["th", "td", "cell"])
 #: Namespaces of the formats known (fixed values).
 NAMESPACES = {

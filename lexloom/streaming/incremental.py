@@ -39,22 +39,30 @@ def thesaurus(spark: SparkSession, target: str, rdf: str | None = None) -> DataF
     return spark.read.schema(LABELS).parquet(f"{target}/concepts.parquet")
 
 
-def enriched(docs: DataFrame, labels: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame, DataFrame]:
+def enriched(docs: DataFrame, labels: DataFrame | None = None, provider: Provider | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Acts, nodes with vectors, and edges with those to the topics named in the displayed texts, of parsed documents.
 
     A batch of texts that the provider refuses has no vectors; structural nodes have none.
+    Without labels there are no topics, without a provider no vectors.
     """
     own = docs.where("error is null").select(F.col("frbr.title").alias("work_title"), F.inline("nodes"))
     chunk = F.col("type") == "EXPRESSION"
     payload = F.when(chunk, enrich.embedding_payload(F.col("work_title"), F.col("text_vector"), F.col("text_display")))
-    nodes = enrich.embed(own.withColumn("payload", payload), "payload", provider).drop("payload", "work_title")
+    none = F.lit(None).cast("array<float>")
+    if provider:
+        nodes = enrich.embed(own.withColumn("payload", payload), "payload", provider).drop("payload", "work_title")
+    else:
+        nodes = own.drop("work_title").withColumns({"embedding": none, "embed_error": F.lit(None).cast("string")})
+    own_edges = akn.edges(docs).withColumn("score", F.lit(None).cast("double"))
+    numbered = lambda edges: edges.withColumn("edge_id", F.xxhash64("source_id", "target_id", "type", "properties"))
+    if labels is None:
+        return akn.acts(docs), nodes, numbered(own_edges)
     found = topics.match(own.where(chunk).select("id", F.col("text_display").alias("text")), topics.dictionary(labels))
     links = found.select(F.col("id").alias("source_id"), F.col("concept_id").alias("target_id"), F.lit("HAS_TOPIC").alias("type"), F.col("score").cast("double").alias("score"))
-    edges = akn.edges(docs).unionByName(links, allowMissingColumns=True)
-    return akn.acts(docs), nodes, edges.withColumn("edge_id", F.xxhash64("source_id", "target_id", "type", "properties"))
+    return akn.acts(docs), nodes, numbered(own_edges.unionByName(links, allowMissingColumns=True))
 
 
-def load(docs: DataFrame, target: str, checkpoint: str, labels: DataFrame, provider: Provider) -> StreamingQuery:
+def load(docs: DataFrame, target: str, checkpoint: str, labels: DataFrame | None = None, provider: Provider | None = None) -> StreamingQuery:
     """Enrich each batch and write its acts, nodes, edges and errors to the tables below ``target``, until what is there is taken up.
 
     Each batch overwrites its own partition, so one that is repeated after a failure

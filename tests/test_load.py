@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lexloom import __main__ as cli
 from lexloom import engine
+from lexloom.functions import text, urns
 from lexloom.functions.urns import known_urn
-from lexloom.operators import expand, fusion, search
+from lexloom.operators import expand, fusion, search, topics
 from lexloom.operators.enrich import hash_provider
 from lexloom.sources import akn, export
 from lexloom.streaming import incremental
@@ -97,6 +98,17 @@ def test_settings_of_an_environment(tmp_path, monkeypatch):
     assert (s.top_k, s.rrf_k, s.bm25, s.hops, s.final_k) == (7, 11, 1.5, 2, 3)
 
 
+def test_the_parser_agrees_with_the_column_functions(spark):
+    uris = ["/akn/it/act/legge/stato/2020-01-02/5/!main", "/akn/it/act/a/b", "/akn/eu/x", "http://dati.senato.it/x/y/z/w", "http://dati.senato.it/x/y", "http://dati.senato.it", "urn:nir:a;1/!main", "", "x"]
+    df = spark.createDataFrame([(u,) for u in uris], "u string")
+    assert [r[0] for r in df.select(urns.uri_to_urn(F.col("u"))).collect()] == [akn.uri_to_urn(u) for u in uris]
+    tables = [[["a", "b"], ["1", "2"]], [["a", "b"], ["1"]], [["a"], ["1", "2"]], [["a"]], [["", "b"], ["", ""]]]
+    rows = spark.createDataFrame([(t,) for t in tables], "t array<array<string>>")
+    assert [r[0] for r in rows.select(text.table_markdown(F.col("t"))).collect()] == [akn.markdown(t) for t in tables]
+    for head in (True, False):
+        assert [r[0] for r in rows.select(text.table_linear(F.col("t"), F.lit(head))).collect()] == [akn.linear(t, head) for t in tables]
+
+
 class Service:
     def __init__(self, states, archive=b"zip"):
         self.states, self.archive, self.confirmed = list(states), archive, []
@@ -194,3 +206,18 @@ def test_shared_folder(spark):
         shared_dir(Elsewhere)
     df, place = Shelf(spark, "x").put(spark.range(3))
     assert df.count() == 3 and place.startswith(shared_dir(spark))
+
+
+def test_large_sets_of_terms_and_labels(spark, monkeypatch):
+    """Beyond the sizes looked up in lists the same rows come out by joins."""
+    texts = spark.createDataFrame([(1, "la pesca nelle acque interne"), (2, "acque e acque"), (3, ""), (4, None), (None, "acque"), (5, "pesca a strascico, pesca")], "id bigint, text string").withColumn("term", F.lit("x"))
+    asked = spark.createDataFrame([("q", "acque acque pesca"), ("r", ""), ("s", None)], "query_id string, text string")
+    labels = spark.createDataFrame([("c1", "pesca", "pref"), ("c2", "pesca a strascico", "pref"), ("c3", "acque interne", "alt"), (None, "x", "pref"), ("c4", None, "pref")], "concept_id string, label string, kind string")
+    words = lambda: sorted((r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in search.bm25_top_k(texts, asked, "id", "text", 3).collect())
+    found = lambda: sorted((r["id"], r["concept_id"], r["label"]) for r in topics.match(texts.select("id", "text"), topics.dictionary(labels)).collect())
+    few = words(), found()
+    assert [r[:2] for r in few[0]] == [("q", 1), ("q", 2), ("q", 5)] and found() == [(1, "c1", "pesca"), (1, "c3", "acque interne"), (5, "c1", "pesca"), (5, "c2", "pesca a strascico")]
+    monkeypatch.setattr(search, "TERMS", 0)
+    monkeypatch.setattr(topics, "FIRST_WORDS", 0)
+    assert (words(), found()) == few
+    assert search.bm25_top_k(texts.limit(0), asked, "id", "text", 3).count() == 0

@@ -204,10 +204,10 @@ def test_files_and_stream(spark, tmp_path):
     target = str(tmp_path / "tables")
     for _ in range(2):  # a second run finds nothing new
         incremental.load(incremental.documents(spark, str(src)), target, str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(f"{target}/nodes").count() == 10
+    assert spark.read.parquet(f"{target}/nodes.parquet").count() == 10
     (src / "c.xml").write_text(ACT.replace("2024-01-11/2", "2024-01-11/3"))
     incremental.load(incremental.documents(spark, str(src)), target, str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(f"{target}/nodes").count() == 20
+    assert spark.read.parquet(f"{target}/nodes.parquet").count() == 20
 
 
 def test_sources(spark, tmp_path):

@@ -66,13 +66,14 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, key: str, vector: str, k:
     """
     spark = rows.sparkSession
     asked = queries.where(F.col("query_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    blocks = -(-asked.count() // BLOCK)
+    few = asked.limit(BLOCK + 1).collect()
+    blocks = 1 if len(few) <= BLOCK else -(-asked.count() // BLOCK)
     data = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).alias("vector"))
     found = None
     for n in range(blocks):
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        own = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
         by_dim: dict[int, list] = {}
-        for r in own.collect():
+        for r in own:
             by_dim.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
         for some in by_dim.values():
             q = np.array([v for _, v in some], dtype=np.float64)

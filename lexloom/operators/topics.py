@@ -35,12 +35,15 @@ def match(texts: DataFrame, labels: DataFrame) -> DataFrame:
     are ``FIRST_WORDS`` at most; with more of them, everywhere.
     """
     parts = F.split("label", " ")
-    counts = labels.groupBy(F.size(parts).alias("n")).agg(F.count_distinct(parts[0]).alias("words")).collect()
-    sizes = sorted(r["n"] for r in counts)
+    begins = labels.select(F.size(parts).alias("n"), parts[0].alias("word")).distinct()
+    some = begins.limit(FIRST_WORDS + 1).collect()
     firsts: dict[int, list[str]] = {}
-    if sum(r["words"] for r in counts) <= FIRST_WORDS:
-        for r in labels.select(F.size(parts).alias("n"), parts[0].alias("word")).distinct().collect():
+    if len(some) <= FIRST_WORDS:
+        for r in some:
             firsts.setdefault(r["n"], []).append(r["word"])
+        sizes = sorted(firsts)
+    else:
+        sizes = sorted(r["n"] for r in begins.select("n").distinct().collect())
     words = texts.where("id is not null and text is not null").select("id", F.split(normalize_text(F.col("text")), " ").alias("w"))
 
     def stretches(n: int) -> Column:

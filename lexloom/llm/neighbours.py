@@ -4,9 +4,10 @@ A pseudo-rotation (random signs and a fast Hadamard transform, three times) turn
 unit vector; its hash is the nearest signed axis. A table's key joins several hashes;
 vectors that share a key in some table are candidates, and these are ranked by their
 exact cosine. Further probes replace hashes of a key by their next nearest axes, those
-first that lag least behind. How many hashes make a key follows from the number of rows,
-so that what a vector meets grows far more slowly than the rows; tables and probes follow
-from the hashes, so that the recall stays.
+first that lag least behind. Hashes, tables and probes are the same whatever the number
+of rows: whether two vectors meet depends on these two only. A search without a least
+cosine has its hashing bound how far the nearest may be, and then compares all rows
+within these bounds.
 """
 
 from __future__ import annotations
@@ -54,16 +55,12 @@ class Lsh:
         return np.random.default_rng(self.seed).choice(np.array([-1, 1], np.float32), (self.tables, self.hashes + self.more, 3, 1 << (self.dim - 1).bit_length()))
 
 
-#: Settings by the most rows they are for. For neighbours of a least cosine of 0.9: buckets of about 100 rows.
-SIMILAR = ((2_000_000, Lsh(3, 3, 2)), (256_000_000, Lsh(4, 4, 3)), (None, Lsh(6, 6, 4)))
-#: For searches without a least cosine: keys of a query in each table.
-#: With one hash whole buckets are multiplied at once, which is cheaper for few rows though it meets more of them.
-SEARCH = ((40_000, Lsh(8, 8, 1, axes=(8,), top=127)), (100_000, Lsh(6, 8, 1, axes=(8,), top=127)), (50_000_000, Lsh(6, 192, 2, axes=(8, 28), top=127)), (None, Lsh(14, 1000, 3, axes=(8, 16, 16), top=127)))
-
-
-def setting(of: tuple[tuple[int | None, Lsh], ...], rows: int, dim: int) -> Lsh:
-    """The setting for a number of rows."""
-    return replace(next(lsh for most, lsh in of if most is None or rows <= most), dim=dim)
+#: The setting for neighbours of a least cosine of 0.9, for any number of rows.
+SIMILAR = Lsh(3, 3, 2)
+#: The one that bounds searches without a least cosine; what they find doesn't depend on it.
+SEARCH = Lsh(1, 192, 2, axes=(8, 28), top=127)
+#: Most rows, and most queries, that a task compares with each other, and into how many parts fewer rows go.
+SIDE, PARTS = 262_144, 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -238,9 +235,11 @@ class _Best:
 
     def add(self, r: np.ndarray, cols: np.ndarray, s: np.ndarray) -> None:
         """The cosines ``s`` of rows ``r`` with others ``cols``, each pair met once."""
-        some = s >= self.floor[r][:, None]
+        some = (s >= self.floor[r].astype(np.float32)[:, None]).any(axis=1)
         if not some.any():
             return
+        if not some.all():
+            r, s = r[some], s[some]
         most = -np.partition(-s, self.k - 1, axis=1)[:, : self.k] if s.shape[1] > self.k else s
         best = -np.sort(-np.concatenate((self.best[r], most), axis=1), axis=1)[:, : self.k]
         self.best[r] = best
@@ -328,9 +327,9 @@ def similar(rows: DataFrame, key: str, vector: str, k: int = 5, least: float = 0
     with one of its vectors; empty tables give no rows; repeated rows and further
     columns change nothing.
 
-    The loss: with the settings that follow from the number of rows (``SIMILAR``) 0.998
-    to 1 of all pairs from 0.9 up are found, those of 0.92 and less included at 0.99
-    (measured against brute force at each setting, see the README). No bucket is capped: a crowded one is cut into parts, and each pair of its parts is
+    The loss: with the setting for any number of rows (``SIMILAR``) 0.998 of all pairs
+    from 0.9 up are found, those of 0.92 and less included at 0.99 (measured against
+    brute force, see the README). No bucket is capped: a crowded one is cut into parts, and each pair of its parts is
     compared, so no pair of it is lost and no task holds more than two parts; all are
     compared in blocks.
 
@@ -342,7 +341,7 @@ def similar(rows: DataFrame, key: str, vector: str, k: int = 5, least: float = 0
     spark = rows.sparkSession
     shelf = Shelf(spark, "similar")
     ids, one = _one_a_row(shelf, units(rows, key, vector, dim))
-    lsh = lsh or setting(SIMILAR, ids.count(), dim)
+    lsh = lsh or replace(SIMILAR, dim=dim)
     kinds, _ = shelf.put(ids.groupBy("code").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     reps = one.join(kinds.select("code", "rep"), "code", "left").where("rep is null or rep = id").select("id", "unit")
     hashed = reps.mapInArrow(partial(_hashed, lsh=lsh, probes=lsh.probes), _ROW)
@@ -512,35 +511,79 @@ def _answers(batches: Iterator[pa.RecordBatch], lsh: Lsh, k: int) -> Iterator[pa
         yield told()
 
 
+def _small(batches: Iterator[pa.RecordBatch], dim: int, top: int) -> Iterator[pa.RecordBatch]:
+    """Vectors quantised."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), _packed(_quantised(_matrix(b.column(1), np.float32, dim), top)), b.column(2)], ["id", "q", "kth"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], dim: int, k: int, top: int) -> Iterator[pa.RecordBatch]:
+    """``(a, b, low, high)``: for each query of a part the rows of it that may be among the k most similar, and the least and largest angle.
+
+    All are compared. Rows have an angle below zero, queries the one their k-th nearest has at most.
+    """
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    column = lambda c: pa.concat_arrays([p.column(c) for p in parts])
+    ids, kth = np.asarray(column(1)), np.asarray(column(3))
+    q = _matrix(column(2), _kinds(top), dim)
+    # an id counts once a side, though it may be redelivered
+    has, asks = (w[np.unique(ids[w], return_index=True)[1]] for w in (np.flatnonzero(kth < 0), np.flatnonzero(kth >= 0)))
+    if not len(has) or not len(asks):
+        return
+    x, off = _sized(q[asks], dim)
+    far = float(max(_sized(q[has[at : at + BLOCK]], dim)[1].max() for at in range(0, len(has), BLOCK)))
+    best = _Best(off, far, k, np.cos(np.minimum(np.pi, kth[asks] + off + far)) - ROUNDING)
+    # ids are in order on both sides: where a query stands among the rows, if it is one
+    own = np.minimum(np.searchsorted(ids[has], ids[asks]), len(has) - 1)
+    own[ids[has[own]] != ids[asks]] = -1
+    for at in range(0, len(has), BLOCK):
+        y = _sized(q[has[at : at + BLOCK]], dim)[0].T
+        for lo in range(0, len(asks), BLOCK):
+            r = np.arange(lo, min(lo + BLOCK, len(asks)))
+            s = x[r] @ y
+            self = np.flatnonzero((own[r] >= at) & (own[r] < at + BLOCK))
+            s[self, own[r[self]] - at] = -2
+            best.add(r, np.arange(at, at + s.shape[1]), s)
+    r, c, near = best.cut()
+    away = _sized(q[has[c]], dim)[1]
+    low, high = _angle(near + ROUNDING) - off[r] - away, _angle(near - ROUNDING) + off[r] + away
+    fit = np.flatnonzero(_within(r, low, high, k))
+    for lo in range(0, len(fit), 50_000):
+        w = fit[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[asks[r[w]]]), pa.array(ids[has[c[w]]]), pa.array(low[w]), pa.array(high[w])], ["a", "b", "low", "high"])
+
+
 def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, lsh: Lsh | None = None, dim: int = 64) -> DataFrame:
-    """``(id, neighbour, cosine, rank)``: of every vector in ``queries`` its k most similar others in ``rows``.
-
-    Vectors go to one key of each table, queries look under ``lsh.probes``. A task has the
-    rows under some keys with one first hash; a query comes there once, with those of its
-    keys, and meets only the rows under them. Each bucket gives a query all that may be
-    among its best, as far as quantised vectors can tell, and no more than may be so by
-    what the first table found; those that still may be over all buckets are ranked by
-    their exact cosine. The rows under a crowded key are cut into
-    parts, to each of which its queries go, so none is capped. Ties rank by id; unusable
-    vectors take no part; an id counts once, with one of its vectors; copies are vectors
-    like any others.
-
-    The loss is measured against brute force: with the settings that follow from the
-    number of rows (``SEARCH``) the mean recall of the five nearest is 0.97 to 0.99,
-    though they may be as far as a cosine of 0.55 (see the README).
+    """``(id, neighbour, cosine, rank)``: of every vector in ``queries`` its k most similar others in ``rows``, exactly.
+
+    Hashing bounds the angle of each query's k-th nearest: vectors go to one key of each
+    table, queries look under ``lsh.probes``. A task has the rows under some keys with one
+    first hash; a query comes there once, with those of its keys, and meets only the rows
+    under them. The rows under a crowded key are cut into parts, to each of which its
+    queries go.
+
+    Then each query is compared with each row, whatever their keys, in tasks of at most
+    ``SIDE`` of both, which tell the rows that may lie within the bound and be among the
+    best, as far as quantised vectors can say; those that still may be over all tasks are
+    ranked by their exact cosine. So neither ``lsh`` nor the number of rows changes what
+    is found, only how much is told on the way; the work is queries times rows. Ties rank
+    by id; unusable vectors take no part; an id counts once, with one of its vectors;
+    copies are vectors like any others.
     """
     spark = rows.sparkSession
     shelf = Shelf(spark, "search")
     ids, own = _one_a_row(shelf, units(rows, key, vector, dim))
     n = ids.count()
-    lsh = lsh or setting(SEARCH, n, dim)
-    _, asked = _one_a_row(shelf, units(queries, key, vector, dim))
+    lsh = lsh or replace(SEARCH, dim=dim)
+    asked_ids, asked = _one_a_row(shelf, units(queries, key, vector, dim))
     groups = max(1, -(-n // (2 * dim * lsh.crowd))) if lsh.hashes > 1 else 1
     # until the end ids are numbers; should two share one, more is compared
     own, asked = (d.withColumn("h", F.xxhash64("id")) for d in (own, asked))
 
     def met(tables: range, asked: DataFrame) -> DataFrame:
-        """``(a, b, low, high)`` that some of the tables' buckets give."""
+        """``(a, b, low, high)`` that the tables' buckets give."""
         data = own.select(F.col("h").alias("id"), "unit").mapInArrow(partial(_placed, lsh=lsh, tables=tables), "base bigint, sub bigint, rest binary, id bigint, q binary")
         asks = asked.select(F.col("h").alias("id"), "unit", "kth").mapInArrow(partial(_asking, lsh=lsh, tables=tables, groups=groups), "base bigint, grp bigint, rest binary, id bigint, q binary")
         place = lambda grp: (F.col("base") * groups + grp).alias("bucket")
@@ -559,11 +602,22 @@ def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
             sent = sent.unionByName(parted.select(alone(F.col("part")), "id", "rest", "q"))
         return spread.unionByName(sent).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_answers, lsh=lsh, k=k), "a bigint, b bigint, low double, high double")
 
+    def compared(asked: DataFrame) -> DataFrame:
+        """``(a, b, low, high)`` that the comparison of all rows gives."""
+        across, down = max(1, -(-asked_ids.count() // SIDE)), max(-(-n // SIDE), min(PARTS, -(-n // BLOCK)), 1)
+        top = Lsh.top
+        small = lambda d, kth: d.select(F.col("h").alias("id"), "unit", kth.cast("double").alias("kth")).mapInArrow(partial(_small, dim=dim, top=top), "id bigint, q binary, kth double")
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        at = lambda of, many: F.pmod(of, F.lit(many)).cast("int")
+        spread = small(own, F.lit(-1)).withColumn("ask", every(across)).select((at(F.col("id"), down) * across + F.col("ask")).alias("part"), "id", "q", "kth")
+        sent = small(asked, F.coalesce("kth", F.lit(np.pi))).withColumn("row", every(down)).select((F.col("row") * across + at(F.col("id"), across)).alias("part"), "id", "q", "kth")
+        return spread.unionByName(sent).repartitionById(down * across, "part").mapInArrow(partial(_compared, dim=dim, k=k, top=top), "a bigint, b bigint, low double, high double")
+
     by_high = Window.partitionBy("a").orderBy("high")
-    # the first table bounds the angle of the k-th nearest, so that the others tell what lies within only
-    first, _ = shelf.put(met(range(1), asked.withColumn("kth", F.lit(None).cast("double"))))
+    # what hashing finds bounds the angle of the k-th nearest, so that the comparison tells what lies within only
+    first = met(range(lsh.tables), asked.withColumn("kth", F.lit(None).cast("double")))
     bounds, _ = shelf.put(first.groupBy("a", "b").agg(F.min("high").alias("high")).withColumn("n", F.row_number().over(by_high)).where(F.col("n") == k).select(F.col("a").alias("h"), F.col("high").alias("kth")))
-    near = first.unionByName(met(range(1, lsh.tables), asked.join(bounds, "h", "left"))) if lsh.tables > 1 else first
+    near, _ = shelf.put(compared(asked.join(bounds, "h", "left")))
     once = near.groupBy("a", "b").agg(F.max("low").alias("low"), F.min("high").alias("high")).withColumn("n", F.row_number().over(by_high))
     kth = F.max(F.when(F.col("n") <= k, F.col("high"))).over(Window.partitionBy("a"))
     best, _ = shelf.put(once.withColumn("kth", kth).where(F.col("low") <= F.col("kth")).select("a", "b"))
